@@ -18,7 +18,9 @@ stays null; other columns are not read.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ from . import _spark, _text
 TABLE_SIZE = 1 << 14
 SUMMARY_SIZE = 1 << 12
 #: Distinct pre-tokens that a task counts before it drops the rarest, and that a worker's cache holds.
-TASK_DISTINCT = 1 << 19
-CACHE_SIZE = 1 << 20
+TASK_DISTINCT = 1 << 17
+CACHE_SIZE = 1 << 19
+#: Pieces that go to the library at once: its encodings are large.
+PIECES = 2048
 
 
 def is_byte_level(spec: str) -> bool:
@@ -135,12 +139,18 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 1024, table_
     return _spark.map_arrow(documents, count, "n_bytes long, n_tokens long, over_limit boolean")
 
 
-def _lookup(raw: bytes, table: Cache):
-    """Counts of texts by the table, then the worker's cache, then the library."""
+@lru_cache(maxsize=1)
+def _tokenizer(raw: bytes):
+    """Kept between the tasks of a worker process, which has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    plain, full = Tokenizer.from_str(raw.decode()), Tokenizer.from_str(raw.decode())
-    plain.encode_special_tokens = True
+    return Tokenizer.from_str(raw.decode())
+
+
+def _lookup(raw: bytes, table: Cache):
+    """Counts of texts by the table, then the worker's cache, then the library."""
+    tokenizer = _tokenizer(raw)
     special = [a["content"] for a in json.loads(raw).get("added_tokens", [])]
     cache = Cache(np.empty(0, np.uint64), np.empty(0, np.int32))
 
@@ -156,7 +166,8 @@ def _lookup(raw: bytes, table: Cache):
                 i = miss[at[new]]
                 pieces = [whole[a:b] for a, b in zip(start[i].tolist(), end[i].tolist())]
                 v = v.copy()
-                v[new] = [len(e.ids) for e in plain.encode_batch_fast(pieces, add_special_tokens=False)]
+                tokenizer.encode_special_tokens = True
+                v[new] = [len(e.ids) for k in range(0, len(pieces), PIECES) for e in tokenizer.encode_batch_fast(pieces[k : k + PIECES], add_special_tokens=False)]
                 cache.add(u[new], v[new], CACHE_SIZE)
             n = n.copy()
             n[miss] = v[back]
@@ -164,8 +175,9 @@ def _lookup(raw: bytes, table: Cache):
         out = total[first[1:]] - total[first[:-1]]
         for s in special:  # texts with the strings of special tokens are cut there by the library
             if s in whole:
+                tokenizer.encode_special_tokens = False
                 for i in np.flatnonzero(np.asarray(pc.match_substring(texts, s))).tolist():
-                    out[i] = len(full.encode(texts[i].as_py(), add_special_tokens=False).ids)
+                    out[i] = len(tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids)
         return out
 
     return lengths
@@ -178,9 +190,7 @@ def _library(raw: bytes, name: str):
 
         p = sentencepiece.SentencePieceProcessor(model_proto=raw)
         return lambda texts: np.array([len(x) for x in p.encode(texts.to_pylist(), num_threads=1)], np.int64)
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(raw.decode())
+    t = _tokenizer(raw)
     t.no_truncation()
     t.no_padding()
     return lambda texts: np.array([len(e.ids) for e in t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], np.int64)
