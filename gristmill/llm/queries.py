@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, license_scan, line_dedup, lz_fingerprint, secrets, token_counts
+from . import bpe, decontaminate, langid, license_scan, line_dedup, lz_fingerprint, near_dedup, secrets, token_counts
 from ._spark import table
 
 
@@ -39,13 +39,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_langid, op4_secrets, op6_decontaminate, op7_line_dedup, op8_license_scan, op10_lz_fingerprint)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_langid, op4_secrets, op6_decontaminate, op7_line_dedup, op8_license_scan, op9_near_dedup, op10_lz_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op7_line_dedup": line_dedup.ORACLE_SQL, "op9_near_dedup": near_dedup.ORACLE_SQL}
