@@ -1,24 +1,61 @@
-"""A training corpus from raw documents: STAGES in order, each over all that the one before kept."""
+"""A training corpus from raw documents: STAGES in order, each over all that the one before kept.
+
+All stages but the last take and return the columns of documents.  Rows whose text is null go
+in the first stage, like all that have no letters; what later stages do with repeated rows and
+null ids is said in their operators.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe
+from gristmill.llm import bpe, decontaminate, langid, line_dedup, near_dedup
+from gristmill.llm._spark import cut, table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learnt; those without letters or without a main language go."""
+    return langid.keep(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many of them share."""
+    return line_dedup.clean(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return near_dedup.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth stands in the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
-STAGES = [("bpe", encode_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("lines", line_stage),
+    ("near", near_stage),
+    ("benchmark", benchmark_stage),
+    ("encode", encode_stage),
+]
 
+#: Language ID and BPE can't be written in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The last stage's rows for documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

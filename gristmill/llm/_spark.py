@@ -60,3 +60,15 @@ def empty_text(c: str = "text"):
 def quiet(f: Callable[[], object]) -> None:
     with contextlib.suppress(Exception):
         f()
+
+
+def filter_arrow(df: DataFrame, keep: Callable[[], Callable[[pa.Array], "pa.Array"]]) -> DataFrame:
+    """The rows, with all their columns, whose text passes; ``keep`` is called once in each task and gives a mask for texts."""
+    from . import _text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = keep()
+        for batch, texts in _text.slices(batches):
+            yield batch.filter(pa.array(passes(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -67,7 +67,6 @@ class Items:
         self.item = (np.concatenate(item) if item else np.empty(0, np.int64))[order]
         self.place = (np.concatenate(place) if place else np.empty(0, np.int64))[order]
         self.short = {n: (np.array([h for h, _ in x], np.uint64), [i for _, i in x]) for n, x in self.short.items()}
-        self.ends = {n: int(first[i + 1]) for n, i in enumerate(range(len(ids)))}
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Which words of a text are hit, and the items that hit them."""
@@ -153,8 +152,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int =
     size = items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
     if size > broadcast_words:
         return _scan_joined(documents, items, span, k)
-    rows = sorted(((r["item_id"], r["words"]) for r in items.collect()), key=lambda x: (x[0] is None, str(x[0])))
-    shared = documents.sparkSession.sparkContext.broadcast(_items(rows, span, k))
+    shared = _broadcast(items, span, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -172,6 +170,32 @@ def scan(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int =
     return _spark.map_arrow(documents, run, _ADDED)
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns."""
+    items = read_items(benchmark)
+    size = items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+    if size > broadcast_words:
+        bad = _scan_joined(documents, items, span, k, ("gm_row",)).where("contaminated").select("gm_row").distinct()
+        marked = documents.withColumn("gm_row", F.xxhash64("doc_id", "text"))
+        return marked.join(bad, "gm_row", "left_anti").select(*documents.columns)
+    shared = _broadcast(items, span, k)
+
+    def passes(texts: pa.Array) -> np.ndarray:
+        w = _text.split_words(texts, _text.ALNUM)
+        n, bad = np.diff(w.first), np.zeros(len(texts), bool)
+        for i in _candidates(shared.value, w):
+            hit = int(shared.value.hits(w.hash[w.first[i] : w.first[i + 1]])[0].sum())
+            bad[i] = hit > 0 and 20 * hit >= n[i]
+        return ~bad
+
+    return _spark.filter_arrow(documents, lambda: passes)
+
+
+def _broadcast(items: DataFrame, span: int, k: int):
+    rows = sorted(((r["item_id"], r["words"]) for r in items.collect()), key=lambda x: (x[0] is None, str(x[0])))
+    return items.sparkSession.sparkContext.broadcast(_items(rows, span, k))
+
+
 def _candidates(items: Items, w: _text.Words) -> list[int]:
     """Texts of which some gram, taken over the whole batch, is a fingerprint or a short item."""
     places = []
@@ -196,7 +220,7 @@ def _member(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan_joined(documents: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+def _scan_joined(documents: DataFrame, items: DataFrame, span: int, k: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The same rows by joins: fingerprints meet by hash, and each pair of text and item is extended on its own."""
     items = items.select(F.struct("item_id", "words").alias("gm_item"), F.xxhash64("item_id", "words").alias("gm_key"))
 
@@ -251,13 +275,13 @@ def _scan_joined(documents: DataFrame, items: DataFrame, span: int, k: int) -> D
             w = _text.split_words(texts, _text.ALNUM)
             n = np.diff(w.first)
             n_hit, names = [], []
-            for i, (found, edges) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            for i, (found, edges) in enumerate(zip(batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist())):
                 d = np.zeros(int(n[i]) + 1, np.int64)
                 for e in edges or []:
                     np.add.at(d, e[0::2], 1)
                     np.add.at(d, e[1::2], -1)
                 n_hit.append(int((np.cumsum(d[:-1]) > 0).sum()))
                 names.append(found or [])
-            yield _spark.record(batch, ("doc_id",), **_result(n, n_hit, names))
+            yield _spark.record(batch, keep, **_result(n, n_hit, names))
 
-    return _spark.map_arrow(docs.join(hits, "gm_row", "left"), finish, _ADDED, read=("doc_id", "text", "gm_names", "gm_edges"))
+    return _spark.map_arrow(docs.join(hits, "gm_row", "left"), finish, _ADDED, keep=keep, read=(*keep, "text", "gm_names", "gm_edges"))

@@ -3,9 +3,10 @@
 Every language learnt has smoothed log-probabilities of hashed character 2- and 3-grams
 (with word edges), and the scripts it is written in.  A word's script leaves only the
 languages that use that script as candidates; each candidate's score is the mean
-log-probability of the word's grams, times the square root of its letters.  Viterbi over a text's words, with a penalty for a switch,
-labels each word; stretches of one label are the spans of a mixed text.  The text's
-language is the one with most letters, its score their share (so 0 to 1).
+log-probability of the word's grams, times the square root of its letters.  Viterbi over a
+text's words, with a penalty for a switch, labels each word; stretches of one label are the
+spans of a mixed text.  The text's language is the one with most letters, its score their
+share (so 0 to 1).
 
 The model is ``buckets`` x languages numbers, whatever the corpus; it is fitted on at most
 about ``rows_per_lang`` labelled rows of each language, chosen by a hash of the text, and
@@ -280,6 +281,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def keep(documents: DataFrame, min_score: float = 0.5, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The documents with a language that has at least ``min_score`` of the letters; ``und`` goes."""
+    model = fit(documents.where(~held_out()).select("lang", "text"))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def passes(texts: pa.Array) -> np.ndarray:
+        lang, score, _ = predict(shared.value, texts, penalty)
+        return (score >= min_score) & np.array([x != "und" for x in lang], bool)
+
+    return _spark.filter_arrow(documents, lambda: passes)
+
+
 def identify(documents: DataFrame, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row; learns from the labelled rows that aren't held out."""
     model = fit(documents.where(~held_out()).select("lang", "text"))

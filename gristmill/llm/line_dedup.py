@@ -4,9 +4,13 @@ A line's key is hashed to 128 bits.  Each task first makes its documents' distin
 and counts them; what crosses the shuffle is one row for each key and task, so a line that
 a third of all documents share costs no more than any other.  Keys of enough documents, with
 the document that keeps them, are then joined with the lines of long keys; Spark splits the
-join's skewed partitions.  The dropped lines of a document come together by a range
-partitioning of documents with their positions sorted, and become a bitmap: 64 lines a
-number, numbers that drop nothing left out.  Only hashes and positions move; the texts stay.
+join's skewed partitions.  The dropped lines of a document come together and become a bitmap:
+64 lines a number, numbers that drop nothing left out.  Only hashes and positions move until
+``apply`` brings bitmaps and texts together.
+
+A range partition of all hashes with the documents sorted inside, read as a stream, would put
+every row of a hot line in one task, and a line's number of documents is known at the end of
+its run only; so counts come first, by partial sums, and the stream is left out.
 
 All of it is DataFrame functions.
 
@@ -97,6 +101,16 @@ def apply(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
     )
 
 
+def clean(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents without the lines that go; n_chars, if there, is counted anew.  A null text stays null."""
+    out = apply(documents, keep_bitmaps(documents, min_chars, min_docs))
+    text = F.when(F.col("text").isNotNull(), F.col("gm_kept")).alias("text")
+    new = {"text": text}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("gm_kept")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[new.get(c, F.col(f"`{c}`")) for c in documents.columns])
+
+
 def report(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of each row."""
     docs = documents.select("doc_id", "text")

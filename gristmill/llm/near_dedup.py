@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _spark, _text
 
@@ -266,6 +267,17 @@ def group(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each group, with all its columns; of rows that repeat a doc_id the one whose text sorts first.
+
+    Rows with a null doc_id all stay.
+    """
+    kept = group(documents, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    first = named.withColumn("gm_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("gm_nth = 1").drop("gm_nth")
+    return first.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

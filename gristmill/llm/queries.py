@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, license_scan, line_dedup, lz_fingerprint, near_dedup, secrets, token_counts
+from . import bpe, decontaminate, langid, license_scan, line_dedup, lz_fingerprint, near_dedup, secrets, substring_dedup, token_counts
 from ._spark import table
 
 
@@ -27,6 +27,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +52,7 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_langid, op4_secrets, op6_decontaminate, op7_line_dedup, op8_license_scan, op9_near_dedup, op10_lz_fingerprint)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_langid, op4_secrets, op5_substring_dedup, op6_decontaminate, op7_line_dedup, op8_license_scan, op9_near_dedup, op10_lz_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
