@@ -15,13 +15,15 @@ SIZE, OVERLAP = 1000, 200
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
+def _splitter(pattern: str, size: int):
+    return lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.split(p, pattern, -1))
+
+
 def pieces(text: Column, size: int = SIZE) -> Column:
     """The pieces of a text, none empty or longer than ``size``."""
     out = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array(text))
     for sep in SEPARATORS:
-        pattern = sep.replace(".", "\\.")
-        out = F.flatten(F.transform(out, lambda p, pattern=pattern: F.when(F.length(p) <= size, F.array(p)).otherwise(F.split(p, pattern, -1))))
-        out = F.filter(out, lambda p: F.length(p) > 0)
+        out = F.filter(F.flatten(F.transform(out, _splitter(sep.replace(".", "\\."), size))), lambda p: F.length(p) > 0)
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda i: F.substr(p, i * size + 1, F.lit(size)))
     return F.flatten(F.transform(out, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(p))))
 

@@ -17,7 +17,8 @@ PY_SPACE = f"[{_COMMON}\\x{{85}}\\x{{1C}}-\\x{{1F}}]"
 
 #: Marks that may wrap a quote, opening and closing.
 WRAPPERS = [('"', '"'), ("“", "”"), ("‘", "’"), ("'", "'"), ("«", "»"), ("„", "“")]
-CITATION = r"^> \*\*([^\n\r  ]+?)\*\* — ([^\n\r  ]+)\z"
+_ANY = r"[^\n\r\x{2028}\x{2029}]+"
+CITATION = rf"^> \*\*({_ANY}?)\*\* — ({_ANY})\z"
 #: Words that lexical ranking leaves out, in alphabetical order.
 STOP_WORDS = sorted(
     {

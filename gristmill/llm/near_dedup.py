@@ -7,10 +7,13 @@ stop after a few.  Documents with equal sets are one class from here on.
 
 Signatures are cut into bands, as many as leave a pair at the threshold a chance of at most
 ``MISS`` to share none.  Classes that share a band are compared: first each with the band's
-least member, then, in bands whose members aren't all connected yet, each with a member
-chosen by a hash, and at last all that are in different components still.  Pairs are sieved
-by set sizes and 128-bit sketches of their signatures; what is left is confirmed on the full
-sets.  Links make components by alternating large and small stars (a distributed
+least member (its lead), then, in bands whose members aren't all connected yet, each with a
+member chosen by a hash, and at last all that are in different components still.  Pairs are
+sieved by set sizes and 128-bit sketches of their signatures; what is left is confirmed on the
+full sets.  For that last step bands of up to ``SMALL`` members give pairs.  The members of
+larger ones come together under their leads, in blocks of bounded size, and an inverted index
+over their shingles counts what each shares with the others; only pairs that reach the
+threshold leave the task.  Links make components by alternating large and small stars (a distributed
 union-find); each component is named after its least doc_id, which is the document to keep.
 
 Bands never emit the pairs of connected members, whatever their size; nothing is capped.
@@ -37,6 +40,8 @@ from . import _spark, _text
 WORDS, PERCENT = 5, 80
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-7
+#: Members of a band that are paired by a join, and shingles of a block of a larger one.
+SMALL, BLOCK = 32, 2_000_000
 #: Slots of a signature at most, and bits of its sketch.
 SLOTS, BITS = 160, 128
 
@@ -199,7 +204,7 @@ def link(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
     """Confirmed links (x, y) that connect all linked classes; none if no two share a band."""
     facts = _spark.cut(nodes.select("id", "n", "a", "s0", "s1"))
     rows = nodes.select("id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1").select("key", "lead")
+    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1")
     members = _spark.cut(rows.join(shared, "key"))
     if members.isEmpty():
         return None
@@ -231,7 +236,7 @@ def link(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
 
     def open_members() -> DataFrame:
         """Members with their roots, of bands that are in more than one component."""
-        now = members.select("key", "id")
+        now = members.select("key", "id", "lead", "c")
         now = now.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")) if links is not None else now.withColumn("root", F.col("id"))
         several = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         return _spark.cut(now.join(several, "key", "left_semi"))
@@ -239,18 +244,75 @@ def link(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
     confirm(sieved(members.select(F.col("lead").alias("p"), F.col("id").alias("q"))))
     now = open_members()
     pick = F.xxhash64("key", "id")
-    leads = now.groupBy("key").agg(F.min_by(F.struct("id", "root"), pick).alias("lead"))
-    if confirm(sieved(now.join(leads, "key").where("lead.root <> root").select(F.col("lead.id").alias("p"), F.col("id").alias("q")))):
+    others = now.groupBy("key").agg(F.min_by(F.struct("id", "root"), pick).alias("other"))
+    if confirm(sieved(now.join(others, "key").where("other.root <> root").select(F.col("other.id").alias("p"), F.col("id").alias("q")))):
         now = open_members()
-    # all that is left: members outside their band's main component with all of other components
-    count = now.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    now = now.join(facts, "id").join(count, "key")
-    p = now.where("root <> main").select("key", F.struct("id", "root", "n", "s0", "s1").alias("p"))
-    q = now.select("key", F.struct("id", "root", "n", "s0", "s1").alias("q"))
-    confirm(p.join(q, (p["key"] == q["key"]) & (F.col("p.root") != F.col("q.root")) & _close("p", "q", percent)).select(F.least("p.id", "q.id").alias("x"), F.greatest("p.id", "q.id").alias("y")).distinct())
+    # all that is left, in small bands: members of different components
+    few = now.where(F.col("c") <= SMALL).join(facts, "id").select("key", F.struct("id", "root", "n", "s0", "s1").alias("p"))
+    pairs = few.join(few.withColumnRenamed("p", "q"), "key").where((F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & _close("p", "q", percent))
+    confirm(pairs.select(F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct())
+    # and in large ones: members outside their lead's main component with all others, in blocks
+    many = _spark.cut(now.where(F.col("c") > SMALL).select("lead", "id", "root").distinct().join(facts.select("id", "n"), "id"))
+    if not many.isEmpty():
+        roots = many.groupBy("lead", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+        leads = roots.groupBy("lead").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        rows = many.join(leads, "lead").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.join(sets.select("id", F.transform("items", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("items")), "id")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        ask = rows.where("root <> main").withColumn("j", every).select("lead", F.col("own").alias("i"), "j", F.lit(0).alias("side"), "id", "root", "n", "items")
+        answer = rows.withColumn("i", every).select("lead", "i", F.col("own").alias("j"), F.lit(1).alias("side"), "id", "root", "n", "items")
+        dealt = ask.unionByName(answer).repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "side", "id")
+        confirm(dealt.mapInArrow(lambda batches: _compare(batches, percent), "x long, y long").distinct())
     return links
 
 
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that may reach the threshold, in each block of asking (side 0) and answering rows.
+
+    Shingles are folded to 31 bits, which can only add to what two sets share: no pair is lost,
+    and those that are left are confirmed on the full sets.
+    """
+    held: list[tuple] = []
+    key = None
+
+    def judge() -> pa.RecordBatch:
+        ask, answer = [r for r in held if r[0] == 0], [r for r in held if r[0] == 1]
+        out_x, out_y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if ask and answer:
+            size = np.array([len(r[4]) for r in answer])
+            items = np.concatenate([r[4] for r in answer])
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], np.repeat(np.arange(len(answer)), size)[order]
+            ids, roots, n = (np.array([r[k] for r in answer], np.int64) for k in (1, 2, 3))
+            for _, i, root, m, mine in ask:
+                lo, hi = np.searchsorted(items, mine, "left"), np.searchsorted(items, mine, "right")
+                width = hi - lo
+                total = int(width.sum())
+                if not total:
+                    continue
+                at = np.arange(total) + np.repeat(lo - (np.cumsum(width) - width), width)
+                shared = np.minimum(np.bincount(owner[at], minlength=len(answer)), np.minimum(n, m))
+                ok = (shared * 100 >= (n + m - shared) * percent) & (roots != root) & (ids != i)
+                out_x.append(np.minimum(ids[ok], i))
+                out_y.append(np.maximum(ids[ok], i))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_x)), pa.array(np.concatenate(out_y))], names=["x", "y"])
+
+    for batch in batches:
+        get = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+        flat = {c: get[c].to_pylist() for c in ("lead", "i", "j", "side", "id", "root", "n")}
+        for k in range(batch.num_rows):
+            now = (flat["lead"][k], flat["i"][k], flat["j"][k])
+            if now != key:
+                if held:
+                    yield judge()
+                key = now
+            # copied, so that the batch can go
+            held.append((flat["side"][k], flat["id"][k], flat["root"][k], flat["n"][k], np.array(get["items"][k].values, np.int32)))
+    if held:
+        yield judge()
+
+
 def group(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; links have 100 * intersection >= percent * union."""
     kind = documents.schema["doc_id"].dataType

@@ -90,8 +90,8 @@ def quota(candidates: DataFrame, total: int, per_item: int = 1) -> DataFrame:
     return candidates.where(F.col("place") <= -(-total // per_item))
 
 
-def _golds_cited(gold: Column, verdicts: Column, sources: Column, shared_run) -> Column:
-    """Every gold text is quoted: a valid quote is in it, or names its document and runs over its edge."""
+def _golds(gold: Column, verdicts: Column, sources: Column) -> Column:
+    """Of each gold text: is a valid quote in it, and which valid quotes name its document and may run over its edge."""
     flat = lambda c: text.collapse(c, text.PY_SPACE)
     valid = F.transform(F.filter(verdicts, lambda v: v["valid"]), lambda v: F.struct(v["name"].alias("name"), flat(text.strip_wrapping(v["quote"], text.PY_SPACE)).alias("quote")))
 
@@ -101,7 +101,7 @@ def _golds_cited(gold: Column, verdicts: Column, sources: Column, shared_run) ->
         names = F.transform(F.filter(sources, lambda s: flat(s["content"]) == t), lambda s: s["name"])
         return F.struct(inside.alias("inside"), t.alias("text"), F.transform(F.filter(valid, lambda v: F.array_contains(names, v["name"]) & (F.length(v["quote"]) > 0)), lambda v: v["quote"]).alias("quotes"))
 
-    return shared_run(F.transform(gold, cited))
+    return F.transform(gold, cited)
 
 
 @F.pandas_udf("boolean")
@@ -129,7 +129,12 @@ def check(examples: DataFrame, contract: Contract = Contract()) -> DataFrame:
     bad = F.filter("verdicts", lambda v: ~v["valid"])[0]
     first_bad = F.when(~bad["known"], "unknown_document_name").when(~bad["verbatim"], "quote_not_verbatim").otherwise("quote_too_long")
     length = F.length("gm_target") + (F.col("rendered_chars") if "rendered_chars" in names else F.lit(0))
-    ex = ex.withColumn("gm_cited", _golds_cited(F.col("gold"), F.col("verdicts"), F.col("sources"), _runs_over_edges)) if "gold" in names else ex.withColumn("gm_cited", F.lit(True))
+    if "gold" in names:
+        # the Python function reads a plain column; it is kept out of the expressions around it
+        ex = ex.withColumn("gm_golds", _golds(F.col("gold"), F.col("verdicts"), F.col("sources")))
+        ex = ex.withColumn("gm_cited", F.forall("gm_golds", lambda g: g["inside"]) | _runs_over_edges.asNondeterministic()("gm_golds")).drop("gm_golds")
+    else:
+        ex = ex.withColumn("gm_cited", F.lit(True))
     n = F.size("verdicts")
     answer = (
         F.when(n == 0, "no_citation")
@@ -169,6 +174,31 @@ def stats_report(checked: DataFrame) -> DataFrame:
     return out
 
 
+class Kept:
+    """Questions kept so far, indexed by their tokens."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.seen: set[str] = set()
+        self.sizes: list[int] = []
+        self.index: dict[str, list[int]] = {}
+
+    def add(self, plain: str) -> bool:
+        """Keeps a question unless one like it was kept before."""
+        words = set(plain.split())
+        shared: dict[int, int] = {}
+        for w in words:
+            for k in self.index.get(w, ()):
+                shared[k] = shared.get(k, 0) + 1
+        if plain in self.seen or any(n >= self.threshold * (len(words) + self.sizes[k] - n) for k, n in shared.items()):
+            return False
+        self.seen.add(plain)
+        for w in words:
+            self.index.setdefault(w, []).append(len(self.sizes))
+        self.sizes.append(len(words))
+        return True
+
+
 def dedupe(examples: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Drops questions like one kept before, by example order, within (first gold document or library, answerable).
 
@@ -179,42 +209,20 @@ def dedupe(examples: DataFrame, threshold: float = 0.8) -> DataFrame:
     first = F.when(F.size("gold") > 0, F.col("gold")[0]["document"]) if "gold" in examples.columns else F.lit(None).cast("string")
     keyed = examples.select("example_id", F.coalesce(first, F.col("library")).alias("bucket"), "answerable", text.plain_question(F.col("question")).alias("plain"))
 
-    def fold(key: Any, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
-        kept: list[set[str]] = []
-        index: dict[str, list[int]] = {}
-        for b in batches:
-            out = []
-            for i, plain in zip(b["example_id"], b["plain"]):
-                words = set(plain.split())
-                shared: dict[int, int] = {}
-                for w in words:
-                    for k in index.get(w, ()):
-                        shared[k] = shared.get(k, 0) + 1
-                near = plain in seen or any(n >= threshold * (len(words) + len(kept[k]) - n) for k, n in shared.items())
-                if not near:
-                    seen.add(plain)
-                    for w in words:
-                        index.setdefault(w, []).append(len(kept))
-                    kept.append(words)
-                    out.append(i)
-            yield pd.DataFrame({"example_id": out})
-
     kind = examples.schema["example_id"].dataType.simpleString()
     ordered = keyed.repartition("bucket", "answerable").sortWithinPartitions("bucket", "answerable", "example_id")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # buckets lie sorted in the partition, so only one bucket's index is held at a time
-        state: dict[str, Any] = {"key": None, "fold": None}
+        held, kept = None, Kept(threshold)
         for b in batches:
-            new = (b["bucket"].ne(b["bucket"].shift()) | b["answerable"].ne(b["answerable"].shift())).cumsum()
-            for _, part in b.groupby(new, sort=False):
-                key = (part["bucket"].iloc[0], part["answerable"].iloc[0])
-                if state["key"] != key:
-                    box: list[pd.DataFrame] = []
-                    state = {"key": key, "box": box, "fold": fold(key, iter(box.pop, None))}
-                state["box"].append(part)
-                yield next(state["fold"])
+            out = []
+            for i, bucket, answerable, plain in zip(b["example_id"], b["bucket"], b["answerable"], b["plain"]):
+                if (bucket, answerable) != held:
+                    held, kept = (bucket, answerable), Kept(threshold)
+                if kept.add(plain):
+                    out.append(i)
+            yield pd.DataFrame({"example_id": out})
 
     survivors = ordered.mapInPandas(stream, f"example_id {kind}")
     return examples.join(survivors, "example_id", "left_semi")
