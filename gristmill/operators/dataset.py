@@ -13,6 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gristmill.functions import repair, text
@@ -104,7 +105,7 @@ def _golds(gold: Column, verdicts: Column, sources: Column) -> Column:
     return F.transform(gold, cited)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())  # a type by name would need a session here
 def _runs_over_edges(golds: pd.Series) -> pd.Series:
     """For each row: is every gold inside a quote, or shared by one over a long enough run."""
 
