@@ -15,19 +15,20 @@ _COMMON = r"\t\n\x0b\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}
 WEB_SPACE = f"[{_COMMON}\\x{{FEFF}}]"
 PY_SPACE = f"[{_COMMON}\\x{{85}}\\x{{1C}}-\\x{{1F}}]"
 
-#: Marks that may wrap a quote, opening and closing.
+# Marks that may wrap a quote, opening and closing.
 WRAPPERS = [('"', '"'), ("“", "”"), ("‘", "’"), ("'", "'"), ("«", "»"), ("„", "“")]
+# Quotation marks and dashes that count as one when texts are compared loosely.
+MARKS = "\"“”«»„‘’‚`´"
+DASHES = "‐‑‒–—―"
 _ANY = r"[^\n\r\x{2028}\x{2029}]+"
 CITATION = rf"^> \*\*({_ANY}?)\*\* — ({_ANY})\z"
-#: Words that lexical ranking leaves out, in alphabetical order.
-STOP_WORDS = sorted(
-    {
-        "a", "about", "also", "an", "and", "any", "are", "as", "at", "be", "been", "between", "by", "can", "could", "did", "do", "does", "for", "from",
-        "he", "her", "his", "how", "i", "if", "in", "into", "is", "it", "its", "may", "me", "might", "my", "no", "not", "of", "on", "or", "our", "over",
-        "she", "should", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "under", "was", "we", "were",
-        "what", "when", "where", "which", "who", "whom", "why", "will", "with", "would", "you", "your",
-    }
-)
+# Words that lexical ranking leaves out, in alphabetical order.
+STOP_WORDS = [
+    "a", "about", "also", "an", "and", "any", "are", "as", "at", "be", "been", "between", "by", "can", "could", "did", "do", "does", "for", "from",
+    "he", "her", "his", "how", "i", "if", "in", "into", "is", "it", "its", "may", "me", "might", "my", "no", "not", "of", "on", "or", "our", "over",
+    "she", "should", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "under", "was", "we", "were",
+    "what", "when", "where", "which", "who", "whom", "why", "will", "with", "would", "you", "your",
+]
 
 
 def collapse(c: Column, space: str = WEB_SPACE) -> Column:
@@ -165,8 +166,7 @@ def bold_parts(c: Column) -> Column:
 
 def loose(c: Column) -> Column:
     """Lower case with quotation marks and dashes unified, a character for a character."""
-    marks, dashes = "\"“”«»„‘’‚‹`´", "‐‑‒–—―"
-    same = F.translate(c, marks + dashes, "'" * len(marks) + "-" * len(dashes))
+    same = F.translate(c, MARKS + DASHES, "'" * len(MARKS) + "-" * len(DASHES))
     return F.when(F.length(F.lower(same)) == F.length(same), F.lower(same)).otherwise(same)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from gristmill.functions import text
 
 
-#: What stands for the sources if there are none.
-NO_SOURCES = "Sources: (none — " + "the user has no documents" + " that match this question)"
+# Fixed value: what stands for the sources if there are none.
+NO_SOURCES = "Sources: (none — the user has no documents that match this question)"
 
 
 @dataclass(frozen=True)
