@@ -82,22 +82,22 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
 def apply(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The documents with gm_kept (the lines that stay, joined by a newline), gm_n_lines and gm_n_dropped."""
-    b = bitmaps.select(F.col("doc_id").alias("gm_doc"), F.col("gm_text").alias("gm_hash"), "n_dropped", "words")
-    on = documents["doc_id"].eqNullSafe(b["gm_doc"]) & (F.xxhash64(_spark.empty_text()) == b["gm_hash"])
+    b = bitmaps.select(F.col("doc_id").alias("gmb_doc"), F.col("gm_text").alias("gmb_text"), F.col("n_dropped").alias("gmb_dropped"), F.col("words").alias("gmb_words"))
+    on = documents["doc_id"].eqNullSafe(b["gmb_doc"]) & (F.xxhash64(_spark.empty_text()) == b["gmb_text"])
     joined = documents.join(b, on, "left")
-    bits = F.map_from_entries("words")
+    bits = F.map_from_entries("gmb_words")
 
     def stays(_, i: Column) -> Column:
-        word = F.coalesce(F.element_at(F.col("gm_map"), F.shiftright(i, 6)), F.lit(0).cast("long"))
+        word = F.coalesce(F.element_at(F.col("gmb_map"), F.shiftright(i, 6)), F.lit(0).cast("long"))
         return F.call_function("shiftrightunsigned", word, i.bitwiseAND(63)).bitwiseAND(F.lit(1).cast("long")) == 0
 
     kept = F.array_join(F.filter(lines(), stays), "\n")
     return (
-        joined.withColumn("gm_map", F.when(F.col("words").isNotNull(), bits))
+        joined.withColumn("gmb_map", F.when(F.col("gmb_words").isNotNull(), bits))
         .withColumn("gm_n_lines", F.size(lines()).cast("long"))
-        .withColumn("gm_n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long"))
-        .withColumn("gm_kept", F.when(F.col("words").isNull(), _spark.empty_text()).otherwise(kept))
-        .drop("gm_doc", "gm_hash", "n_dropped", "words", "gm_map")
+        .withColumn("gm_n_dropped", F.coalesce("gmb_dropped", F.lit(0)).cast("long"))
+        .withColumn("gm_kept", F.when(F.col("gmb_words").isNull(), _spark.empty_text()).otherwise(kept))
+        .drop("gmb_doc", "gmb_text", "gmb_dropped", "gmb_words", "gmb_map")
     )
 
 
