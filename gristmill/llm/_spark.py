@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -48,6 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle and checkpoint files of rows that nothing refers to any more.
+
+    Spark deletes them once the driver's garbage is collected, which may be long after an
+    iterative job has left them behind.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Rows that several later steps read; a lost block is computed again from its lineage."""
     return df.persist(StorageLevel.DISK_ONLY)

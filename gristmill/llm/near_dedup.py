@@ -180,6 +180,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = _spark.cut(small.where("u <> v").distinct())
+        _spark.release(e.sparkSession)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -211,6 +212,7 @@ def link(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
     wanted = facts.join(members.select("id").distinct(), "id", "left_semi")
     sets = _spark.cut(_full_sets(documents, wanted, words))
     facts = _spark.cut(wanted.drop("a"))
+    _spark.release(facts.sparkSession)
     done: DataFrame | None = None
     links: DataFrame | None = None
 
@@ -226,6 +228,7 @@ def link(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
         found = _spark.cut(found.where(both * 100 >= (F.size("p") + F.size("q") - both) * percent).select("x", "y"))
         done = new if done is None else done.unionByName(new)
         links = found if links is None else links.unionByName(found)
+        _spark.release(links.sparkSession)
         return True
 
     def sieved(pairs: DataFrame) -> DataFrame:
