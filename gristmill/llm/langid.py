@@ -31,6 +31,8 @@ from . import _spark, _text
 BUCKETS = 1 << 16
 ROWS_PER_LANG = 4000
 SWITCH_PENALTY = 6.0
+#: Bytes of text that are scored at once: every letter takes some hundred bytes on the way.
+SLICE = 1 << 20
 #: A language uses a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.01
 
@@ -223,7 +225,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, rows_per_lang: int = ROWS_P
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
-            for batch, texts in _text.slices(batches):
+            for batch, texts in _text.slices(batches, limit=SLICE):
                 lang = batch.column(batch.schema.get_field_index("lang")).to_pylist()
                 for name in set(lang):
                     g = Grams(texts.filter(pa.array([x == name for x in lang])), buckets)
@@ -248,7 +250,7 @@ def label(documents: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, texts in _text.slices(batches):
+        for batch, texts in _text.slices(batches, limit=SLICE):
             lang, score, found = predict(model, texts, penalty, spans)
             kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield _spark.record(batch, ("doc_id",), lang_pred=lang, score=score, **({"spans": pa.array(found, kind)} if spans else {}))
