@@ -19,9 +19,21 @@ GENERATIONS = f"id string, category string, question string, provider string, mo
 EXAMPLES = "id string, type string, library string, question string, sources array<struct<documentName: string, content: string, normalized: string>>, history array<struct<role: string, content: string>>, gold array<struct<document: string, index: int, normalized: string>>, target string"
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, media_type and content of all files below a folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def files(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
+    """path, name, media_type and content of all files below a folder.
+
+    Spark's reader passes over files without a byte.  With ``empty`` the driver lists the folder
+    itself and gives them rows too.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    if empty:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found, left = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+        while found.hasNext():
+            f = found.next()
+            if f.getLen() == 0 and f.getPath().getName()[0] not in "._":
+                left.append((f.getPath().toString(), bytearray()))
+        raw = raw.unionByName(spark.createDataFrame(left, "path string, content binary"))
     name = F.element_at(F.split("path", "/"), -1)
     return raw.select("path", name.alias("name"), text.extension_type(name).alias("media_type"), "content")
 

@@ -58,7 +58,7 @@ def test_prompts(spark, tmp_path):
         ("> **Guide.txt** — ...lasts 14 hours...", ["quote_trimmed"], "> **Guide.txt** — lasts 14 hours"),
         ("> **Other Notes.md** — nothing 'much' is here - only", ["quote_normalized"], "> **Other Notes.md** — Nothing “much” is here — only"),
         ("> **Guide.txt** — The Battery lasts 14 hours ... with the supplied adapter", ["quote_segment"], "> **Guide.txt** — The Battery lasts 14 hours"),
-        ("> **Guide.txt** — charging it takes about ninety minuts with the supplied adapter", ["quote_fuzzy"], "> **Guide.txt** — charging it takes about ninety minutes with the supplied adapter"),
+        ("> **Guide.txt** — charging it takes about ninety minuts with the supplied adapter", ["quote_fuzzy"], "> **Guide.txt** — charging it takes about ninety minutes with the supplied adapter."),
         ("> **Guide.txt** — lasts 14 hours", [], "> **Guide.txt** — lasts 14 hours"),
         ("> **Unknown.pdf** — lasts 14 hours", [], "> **Unknown.pdf** — lasts 14 hours"),
         ("> **Guide.txt** — something that was never written anywhere", [], "> **Guide.txt** — something that was never written anywhere"),

@@ -114,7 +114,7 @@ def test_files_to_chunks(spark, tmp_path):
     (folder / "c.exe").write_bytes(b"x")
     (folder / "d.txt").write_bytes(b"")
     (folder / "e.pdf").write_bytes(b"%PDF text")
-    rows, left = io.export_chunks(io.extract(io.files(spark, str(folder)), lambda raw: raw.decode()[5:]))
+    rows, left = io.export_chunks(io.extract(io.files(spark, str(folder), empty=True), lambda raw: raw.decode()[5:]))
     assert sorted((r["documentName"], r["chunkIndex"], r["chunkCount"], r["normalized"]) for r in rows.collect()) == [("a.txt", 0, 1, "Hello there. Again."), ("e.pdf", 0, 1, "text")]
     assert {r["name"]: r["reason"] for r in left.collect()} == {"a.txt": "duplicate_name", "b.md": "no_text", "c.exe": "unsupported_type", "d.txt": "empty"}
 
