@@ -91,6 +91,17 @@ def test_passages_apart_are_found_apart(spark):
     assert sorted((x["doc_id"], x["start_word"], x["end_word"]) for x in found) == [(1, 30, 85), (2, 9, 64)]
 
 
+def test_every_copy_in_a_document_is_found(spark):
+    r = random.Random(4)
+    new = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    one = new(55)
+    texts = {1: new(30) + one + new(30), 2: new(9) + one + new(7) + one + one + new(120) + one, 3: new(20) + 2 * new(60)}
+    found = substring_dedup.passages(table(spark, {i: " ".join(t) for i, t in texts.items()})).where("not first").collect()
+    copied = {w for x in found for w in range(x["start_word"], x["end_word"])}
+    assert {x["doc_id"] for x in found} == {2}
+    assert copied == {w for a in (9, 71, 126, 301) for w in range(a, a + 55)}
+
+
 def test_passages_odd_rows(docs, no_docs):
     found = substring_dedup.passages(docs)
     ids = {r["doc_id"] for r in found.collect()}
