@@ -102,6 +102,29 @@ def test_every_copy_in_a_document_is_found(spark):
     assert copied == {w for a in (9, 71, 126, 301) for w in range(a, a + 55)}
 
 
+def test_edited_passages_are_found(spark):
+    """60 passages of 60 words with nine of them changed, neither of the outer two."""
+    r = random.Random(5)
+    new = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    texts = {}
+    for i in range(60):
+        one = new(60)
+        other = one.copy()
+        for at in r.sample(range(2, 58), 9):
+            other[at] = new(1)[0]
+        texts[i], texts[100 + i] = new(30) + one + new(30), new(9) + other + new(7)
+    found = substring_dedup.passages(table(spark, {i: " ".join(t) for i, t in texts.items()})).where("not first").collect()
+    assert all(min(x["end_word"], 69) - max(x["start_word"], 9) >= 45 for x in found)
+    assert sorted((x["doc_id"], x["other_doc_id"]) for x in found) == [(100 + i, i) for i in range(60)]
+
+
+def test_seeds_survive_packing():
+    r = np.random.default_rng(0)
+    h, doc, p = r.integers(0, 1 << 64, 500, np.uint64), r.integers(-9, 1 << 62, 500), r.integers(0, 1 << 31, 500, np.int32)
+    back = [np.concatenate(x) for x in zip(*(substring_dedup._unpack(*row[1:]) for row in substring_dedup._pack(h, doc, p, 4)))]
+    assert sorted(zip(*(x.tolist() for x in back))) == sorted(zip(h.tolist(), doc.tolist(), p.tolist()))
+
+
 def test_passages_odd_rows(docs, no_docs):
     found = substring_dedup.passages(docs)
     ids = {r["doc_id"] for r in found.collect()}
