@@ -118,6 +118,16 @@ def test_edited_passages_are_found(spark):
     assert sorted((x["doc_id"], x["other_doc_id"]) for x in found) == [(100 + i, i) for i in range(60)]
 
 
+def test_a_passage_whose_pieces_stand_elsewhere_is_found(spark):
+    r = random.Random(6)
+    new = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    whole = new(95)
+    pieces = [whole[:37], whole[29:66], whole[58:]]  # every 5-gram first stands in one of them
+    texts = {i: new(90) + x + new(90) for i, x in enumerate(pieces)} | {7: new(80) + whole + new(70), 8: new(12) + whole + new(75)}
+    found = substring_dedup.passages(table(spark, {i: " ".join(t) for i, t in texts.items()})).where("not first").collect()
+    assert [(x["doc_id"], x["other_doc_id"], x["start_word"], x["end_word"]) for x in found] == [(8, 7, 12, 107)]
+
+
 def test_seeds_survive_packing():
     r = np.random.default_rng(0)
     h, doc, p = r.integers(0, 1 << 64, 500, np.uint64), r.integers(-9, 1 << 62, 500), r.integers(0, 1 << 31, 500, np.int32)
