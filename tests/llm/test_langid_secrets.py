@@ -105,3 +105,17 @@ def test_secret_scan(spark, documents, docs, no_docs):
 def test_labels_need_no_context():
     found = secrets.labelled("token: abcdefghij0123456789")
     assert [y for _, y in found] == [1, 1] and not (found[0][0] == found[1][0]).all()
+
+
+def test_a_secret_deep_in_a_candidate_is_seen(spark):
+    net = secrets.Net()  # it looks for five digits in the candidate
+    net.conv[:], net.w1[:], net.w2[:] = 0, 0, 0
+    net.conv[:, 6, 0] = net.w1[secrets.FILTERS, 0] = 1
+    net.w2[0], net.b2, net.threshold = 4, -18, 0.5
+    text = "see " + "abcdefgh/" * 12 + "81726Zq" * 5 + "/abcdefgh" * 9 + " now"
+    d = spark.createDataFrame([(1, text), (2, "see " + "abcdefgh/" * 40 + " now")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_net"] for r in secrets.scan(d, net).collect()} == {1: 1, 2: 0}
+    for a, b in ((0, 16), (0, 48), (5, 54), (7, 500)):
+        parts = secrets.windows(a, b)
+        assert parts[0][0] == a and parts[-1][1] == b and all(y - x <= secrets.SEEN for x, y in parts)
+        assert all(x2 <= y1 for (_, y1), (x2, _) in zip(parts, parts[1:]))
