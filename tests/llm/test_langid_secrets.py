@@ -119,3 +119,13 @@ def test_a_secret_deep_in_a_candidate_is_seen(spark):
         parts = secrets.windows(a, b)
         assert parts[0][0] == a and parts[-1][1] == b and all(y - x <= secrets.SEEN for x, y in parts)
         assert all(x2 <= y1 for (_, y1), (x2, _) in zip(parts, parts[1:]))
+
+
+def test_threshold_keeps_the_recall_of_hard_secrets():
+    r = np.random.default_rng(0)
+    net, y = secrets.Net(), np.arange(2200) < 200
+    z = r.normal(0, 1, len(y)) + y
+    net.logits = lambda x: z[x]
+    at = np.arange(len(y))
+    net.calibrate(at, y.astype(float))
+    assert (net.probability(at[y]) >= net.threshold).mean() >= secrets.RECALL
