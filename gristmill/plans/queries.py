@@ -478,7 +478,7 @@ SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'quota' WHEN octet_length(encode(t
 def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     name = F.concat(F.lit("doc-"), i.cast("string"), F.when(i % 5 == 0, ".exe").otherwise(".TXT"))
-    n = F.when(F.length("text") > 500_000, 501).otherwise(1)
+    n = F.size(chunking.chunks(F.col("text")))
     problem = limits.upload_problem(F.octet_length("text"), text.extension_type(name), F.col("text"), n, F.when(i % 97 == 0, 100).otherwise(0))
     return load(spark, sf_dir, "documents").select("doc_id", problem.alias("reason"))
 

@@ -198,3 +198,13 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
     shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", check=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r")})
+
+
+def test_upload_admission_counts_the_chunks(spark, tmp_path):
+    """Prose of about 450,000 characters has more than 500 chunks."""
+    from gristmill.plans import queries
+
+    many, few = "some words of prose. " * 21_500, "some words of prose. " * 1_000
+    spark.createDataFrame([(1, many), (2, few)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["reason"] for r in queries.upload_admission(spark, str(tmp_path)).collect()}
+    assert len(many) < 500_000 and got == {1: "too_many_chunks", 2: None}
