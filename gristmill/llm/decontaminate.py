@@ -8,6 +8,10 @@ their hash, and each hit is extended to the longest run of equal words around it
 ``span`` words or more is a contamination.  Items with fewer words than ``span`` are one
 window of their own length, found by the hash of the whole window.
 
+A document is ``contaminated`` if a twentieth of its words is hit, and ``leaked`` if it is
+contaminated or holds a window of ``span`` words, however long it is: ``clean`` drops the
+leaked ones.  Items of fewer words may be common phrases, so they count by their share only.
+
 Benchmark fingerprints go to the tasks if there are at most ``broadcast_rows`` (16 bytes
 each, and the items' word hashes, counted too).  Beyond that the documents' fingerprints are
 joined with them by a shuffle, which gives pairs of document and item to extend.  Both ways
@@ -104,6 +108,10 @@ class Items:
                 found.update(i for h, i in zip(hashes.tolist(), items) if h in seen)
         return np.cumsum(hit[:-1]) > 0, found
 
+    def whole(self, items: set[int]) -> bool:
+        """Whether any of the items has a full window."""
+        return any(self.first[i + 1] - self.first[i] >= self.span for i in items)
+
     def _extend(self, words: np.ndarray, p: int, i: int, q: int) -> tuple[int, int]:
         """The run of equal words around a hit: first and last+1 in the text."""
         item = self.words[self.first[i] : self.first[i + 1]]
@@ -133,21 +141,23 @@ def _items(rows: list[tuple], span: int, k: int) -> Items:
     return Items([None if i is None else str(i) for i, _ in rows], words, first, span, k)
 
 
-_ADDED = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_ADDED = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, leaked boolean"
 
 
-def _result(n_words: np.ndarray, n_hit: list[int], names: list[list[str]]) -> dict:
+def _result(n_words: np.ndarray, n_hit: list[int], names: list[list[str]], full: list[bool]) -> dict:
+    contaminated = [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words.tolist())]
     return {
         "n_words": pa.array(n_words, pa.int64()),
         "n_hit": pa.array(n_hit, pa.int64()),
         "n_items": pa.array([len(x) for x in names], pa.int64()),
         "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names],
-        "contaminated": [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words.tolist())],
+        "contaminated": contaminated,
+        "leaked": [x or y for x, y in zip(contaminated, full)],
     }
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (at least a twentieth of its words hit)."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and leaked."""
     items = read_items(benchmark)
     size = items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
     if size > broadcast_words:
@@ -160,22 +170,22 @@ def scan(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int =
             w = _text.split_words(texts, _text.ALNUM)
             # most texts share no gram with the benchmark: one look at all grams of the batch finds the others
             maybe = _candidates(items, w)
-            n_hit, names = [0] * len(texts), [[] for _ in range(len(texts))]
+            n_hit, names, full = [0] * len(texts), [[] for _ in range(len(texts))], [False] * len(texts)
             for i in maybe:
                 hit, found = items.hits(w.hash[w.first[i] : w.first[i + 1]])
-                n_hit[i] = int(hit.sum())
+                n_hit[i], full[i] = int(hit.sum()), items.whole(found)
                 names[i] = sorted({items.ids[x] for x in found if items.ids[x] is not None})
-            yield _spark.record(batch, ("doc_id",), **_result(np.diff(w.first), n_hit, names))
+            yield _spark.record(batch, ("doc_id",), **_result(np.diff(w.first), n_hit, names, full))
 
     return _spark.map_arrow(documents, run, _ADDED)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
+    """The documents that aren't leaked, with all their columns."""
     items = read_items(benchmark)
     size = items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
     if size > broadcast_words:
-        bad = _scan_joined(documents, items, span, k, ("gm_row",)).where("contaminated").select("gm_row").distinct()
+        bad = _scan_joined(documents, items, span, k, ("gm_row",)).where("leaked").select("gm_row").distinct()
         marked = documents.withColumn("gm_row", F.xxhash64("doc_id", "text"))
         return marked.join(bad, "gm_row", "left_anti").select(*documents.columns)
     shared = _broadcast(items, span, k)
@@ -184,8 +194,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int =
         w = _text.split_words(texts, _text.ALNUM)
         n, bad = np.diff(w.first), np.zeros(len(texts), bool)
         for i in _candidates(shared.value, w):
-            hit = int(shared.value.hits(w.hash[w.first[i] : w.first[i + 1]])[0].sum())
-            bad[i] = hit > 0 and 20 * hit >= n[i]
+            hit, found = shared.value.hits(w.hash[w.first[i] : w.first[i + 1]])
+            bad[i] = shared.value.whole(found) or hit.any() and 20 * int(hit.sum()) >= n[i]
         return ~bad
 
     return _spark.filter_arrow(documents, lambda: passes)
@@ -263,18 +273,19 @@ def _scan_joined(documents: DataFrame, items: DataFrame, span: int, k: int, keep
                 hit, found = _items([(item["item_id"], item["words"])], span, k).hits(w.hash[w.first[i] : w.first[i + 1]])
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 if found:
-                    out.append((batch.column(0)[i].as_py(), None if item["item_id"] is None else str(item["item_id"]), edge.tolist()))
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.list_(pa.int64())))], names=["gm_row", "gm_name", "gm_edges"])
+                    out.append((batch.column(0)[i].as_py(), None if item["item_id"] is None else str(item["item_id"]), edge.tolist(), len(item["words"]) >= span))
+            cols = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_()))], names=["gm_row", "gm_name", "gm_edges", "gm_full"])
 
-    runs = matched.mapInArrow(extend, "gm_row long, gm_name string, gm_edges array<long>")
-    hits = runs.groupBy("gm_row").agg(F.sort_array(F.collect_set("gm_name")).alias("gm_names"), F.collect_list("gm_edges").alias("gm_edges"))
+    runs = matched.mapInArrow(extend, "gm_row long, gm_name string, gm_edges array<long>, gm_full boolean")
+    hits = runs.groupBy("gm_row").agg(F.sort_array(F.collect_set("gm_name")).alias("gm_names"), F.collect_list("gm_edges").alias("gm_edges"), F.max("gm_full").alias("gm_full"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _text.slices(batches):
             w = _text.split_words(texts, _text.ALNUM)
             n = np.diff(w.first)
             n_hit, names = [], []
+            full = [bool(x) for x in batch.column(len(keep) + 3).to_pylist()]
             for i, (found, edges) in enumerate(zip(batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist())):
                 d = np.zeros(int(n[i]) + 1, np.int64)
                 for e in edges or []:
@@ -282,6 +293,6 @@ def _scan_joined(documents: DataFrame, items: DataFrame, span: int, k: int, keep
                     np.add.at(d, e[1::2], -1)
                 n_hit.append(int((np.cumsum(d[:-1]) > 0).sum()))
                 names.append(found or [])
-            yield _spark.record(batch, keep, **_result(n, n_hit, names))
+            yield _spark.record(batch, keep, **_result(n, n_hit, names, full))
 
-    return _spark.map_arrow(docs.join(hits, "gm_row", "left"), finish, _ADDED, keep=keep, read=(*keep, "text", "gm_names", "gm_edges"))
+    return _spark.map_arrow(docs.join(hits, "gm_row", "left"), finish, _ADDED, keep=keep, read=(*keep, "text", "gm_names", "gm_edges", "gm_full"))

@@ -283,8 +283,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep(documents: DataFrame, min_score: float = 0.5, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """The documents with a language that has at least ``min_score`` of the letters; ``und`` goes."""
+def keep(documents: DataFrame, min_score: float = 0.0, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The documents with a language that has at least ``min_score`` of the letters; ``und`` goes.
+
+    At 0 a text stays however many languages share it.
+    """
     model = fit(documents.where(~held_out()).select("lang", "text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

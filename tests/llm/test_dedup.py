@@ -172,10 +172,15 @@ def test_decontamination(spark, sf, documents, docs, limit):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
     odd = spark.createDataFrame([(901, None), (902, ""), (903, "two WORDS"), (903, "two words"), (904, prose(60, 1)), (None, "word"), (905, "éé " * 14)], "item_id long, text string")
     for d, b in ((documents, bench), (docs, odd), (docs, bench)):
-        got = sorted(map(tuple, decontaminate.scan(d, b, broadcast_words=limit).collect()), key=repr)
-        assert got == contamination([(r["doc_id"], r["text"]) for r in d.collect()], [tuple(r) for r in b.collect()])
+        found = decontaminate.scan(d, b, broadcast_words=limit)
+        got = sorted(map(tuple, found.drop("leaked").collect()), key=repr)
+        rows, items = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()], [tuple(r) for r in b.collect()]
+        assert got == contamination(rows, items)
+        long_items = [x for x in items if len(ALNUM.findall((x[1] or "").translate(UPPER))) >= 13]
+        leaked = sum(x[5] or y[2] > 0 for x, y in zip(sorted(contamination(rows, items), key=lambda r: repr((r[0], r[1]))), sorted(contamination(rows, long_items), key=lambda r: repr((r[0], r[1])))))
+        assert found.where("leaked").count() == leaked
         kept = decontaminate.clean(d, b, broadcast_words=limit)
-        assert kept.columns == d.columns and kept.count() == sum(not x[5] for x in got)
+        assert kept.columns == d.columns and kept.count() == len(rows) - leaked
 
 
 def test_decontamination_of_nothing(docs, no_docs):
