@@ -15,7 +15,7 @@ from gristmill.llm._spark import cut, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learnt; those without letters or without a main language go."""
+    """Documents with letters in a language learnt; others go.  Texts of several languages stay."""
     return langid.keep(docs)
 
 
@@ -30,7 +30,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in the benchmark."""
+    """Documents that hold no 13-word window of the benchmark, and of which less than a twentieth stands in shorter items."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
