@@ -1,32 +1,35 @@
 """Line deduplication: which lines of each document stay, as compressed bitmaps.
 
-A line's key is hashed to 128 bits.  Each task first makes its documents' distinct long keys
-and counts them; what crosses the shuffle is one row for each key and task, so a line that
-a third of all documents share costs no more than any other.  Keys of enough documents, with
-the document that keeps them, are then joined with the lines of long keys; Spark splits the
-join's skewed partitions.  The dropped lines of a document come together and become a bitmap:
-64 lines a number, numbers that drop nothing left out.  Only hashes and positions move until
-``apply`` brings bitmaps and texts together.
-
-A range partition of all hashes with the documents sorted inside, read as a stream, would put
-every row of a hot line in one task, and a line's number of documents is known at the end of
-its run only; so counts come first, by partial sums, and the stream is left out.
+A long line's key is hashed to 128 bits; hashes with document and position are written once.  They
+are partitioned by ranges of the hash, with a secondary sort by document (the largest first) and
+position, and read as a stream: the first document of a key's run keeps its lines, and the
+others lose theirs if the run has enough documents.  Keys of more than ``HOT`` lines would
+make a long run in one task, so partial counts, one row for each key and task, tell them first: their
+largest document and number of documents come from aggregates, and their lines meet these by a join.
+Both ways give the same rows.
+
+The dropped lines of a document come together and become a bitmap: 64 lines a number,
+numbers that drop nothing left out.  Only hashes and positions move until ``apply`` brings bitmaps
+and texts together.
 
 All of it is DataFrame functions.
 
-Null and empty texts are one empty line.  Every row counts as a document; a line stays in all
-rows with the largest doc_id that hold it, so also in rows that repeat that doc_id.  A null
-doc_id is less than any other.  Other columns are not read.
+Null and empty texts are one empty line.  Rows that repeat a doc_id are one document, and its lines
+all stay if it is the largest that holds them.  Rows with a null doc_id are together one document that
+is less than any other.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _spark
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Lines of a key beyond which its run is not read in one task, and such keys that are broadcast at most.
+HOT, BROADCAST_KEYS = 4096, 100_000
 #: White space that is stripped from both ends of a line.
 _ENDS = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,16 +64,11 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
     ``words`` are structs of ``at`` and ``bits``, ascending: line 64 * at + i is dropped if bit i is set.
     """
-    marked = _marked(documents, min_chars)
-    long_keys = marked.select("doc_id", F.explode(F.array_distinct(F.filter("gm_lines", lambda x: x.isNotNull()))).alias("gm_key"))
-    dups = (
-        long_keys.groupBy(F.col("gm_key.a").alias("a"), F.col("gm_key.b").alias("b"))
-        .agg(F.count("*").alias("gm_n"), F.max("doc_id").alias("gm_keep"))
-        .where(F.col("gm_n") >= min_docs)
-    )
-    rows = marked.select("doc_id", "gm_text", F.posexplode("gm_lines").alias("gm_at", "gm_key")).where("gm_key is not null")
-    rows = rows.select("doc_id", "gm_text", "gm_at", F.col("gm_key.a").alias("a"), F.col("gm_key.b").alias("b"))
-    dropped = rows.join(dups, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("gm_keep")))
+    rows = _marked(documents, min_chars).select("doc_id", "gm_text", F.posexplode("gm_lines").alias("gm_at", "gm_key")).where("gm_key is not null")
+    rows = _spark.cut(rows.select("doc_id", "gm_text", "gm_at", F.col("gm_key.a").alias("a"), F.col("gm_key.b").alias("b")))
+    hot = _spark.cut(rows.groupBy("a", "b").agg(F.count("*").alias("gm_n")).where(F.col("gm_n") > HOT).select("a", "b"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    dropped = _streamed(rows.join(hot, ["a", "b"], "left_anti"), min_docs).unionByName(_looked_up(rows, hot, min_docs))
     words = (
         dropped.select("doc_id", "gm_text", "gm_at")
         .distinct()
@@ -80,6 +78,22 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     return words.groupBy("doc_id", "gm_text").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("words"))
 
 
+def _streamed(rows: DataFrame, min_docs: int) -> DataFrame:
+    """doc_id, gm_text and gm_at of the lines that go, from each key's run in order of document and position."""
+    run = Window.partitionBy("a", "b")
+    ranged = rows.repartitionByRange("a", "b").sortWithinPartitions("a", "b", F.col("doc_id").desc_nulls_last(), "gm_at")
+    nth = ranged.withColumn("gm_nth", F.dense_rank().over(run.orderBy(F.col("doc_id").desc_nulls_last())))
+    return nth.withColumn("gm_docs", F.max("gm_nth").over(run)).where((F.col("gm_nth") > 1) & (F.col("gm_docs") >= min_docs)).select("doc_id", "gm_text", "gm_at")
+
+
+def _looked_up(rows: DataFrame, hot: DataFrame, min_docs: int) -> DataFrame:
+    """The same of the keys in ``hot``; their documents are counted by partial sums."""
+    mine = rows.join(hot, ["a", "b"], "left_semi")
+    docs = mine.select("a", "b", "doc_id").distinct()
+    facts = docs.groupBy("a", "b").agg(F.count("*").alias("gm_docs"), F.max("doc_id").alias("gm_keep")).where(F.col("gm_docs") >= min_docs)
+    return mine.join(facts, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("gm_keep"))).select("doc_id", "gm_text", "gm_at")
+
+
 def apply(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The documents with gm_kept (the lines that stay, joined by a newline), gm_n_lines and gm_n_dropped."""
     b = bitmaps.select(F.col("doc_id").alias("gmb_doc"), F.col("gm_text").alias("gmb_text"), F.col("n_dropped").alias("gmb_dropped"), F.col("words").alias("gmb_words"))
@@ -119,15 +133,17 @@ def report(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 
 ORACLE_SQL = """
-WITH l AS (
-  SELECT doc_id, i, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, doc_id, i, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM t)
 ), d AS (
-  SELECT k, max(doc_id) AS keep FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+  SELECT k, max(doc_id) AS keep FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 5
 ), m AS (
-  SELECT l.*, d.k IS NOT NULL AND l.doc_id <> d.keep AS gone FROM l LEFT JOIN d USING (k)
+  SELECT l.*, d.k IS NOT NULL AND l.doc_id IS DISTINCT FROM d.keep AS gone FROM l LEFT JOIN d USING (k)
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+SELECT first(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r
 """

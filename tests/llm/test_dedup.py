@@ -204,10 +204,10 @@ def test_winnowing_keeps_a_gram_of_every_window():
 
 def lines_by_hand(rows, min_chars=40, min_docs=5):
     strip = " \t\n\x0b\x0c\r"
-    holders: dict[str, list] = {}
-    for n, (i, t) in enumerate(rows):
+    holders: dict[str, set] = {}
+    for i, t in rows:  # documents, which rows may repeat; null is one of them
         for k in {x.strip(strip).translate(UPPER) for x in (t or "").split("\n")}:
-            holders.setdefault(k, []).append(i)
+            holders.setdefault(k, set()).add(i)
     low = lambda i: -1 if i is None else i
     out = []
     for i, t in rows:
@@ -218,8 +218,19 @@ def lines_by_hand(rows, min_chars=40, min_docs=5):
     return sorted(out, key=repr)
 
 
-def test_line_dedup(documents, docs, no_docs):
-    for d in (documents, docs):
+def repeated_lines(spark):
+    """Lines held by four documents in five rows, by five with a null one, and by two texts of one largest document."""
+    lines = [f"line {i} is long enough to be a key of its own, no doubt" for i in range(4)]
+    rows = [(1, lines[0]), (1, lines[0]), (1, lines[0] + "\nown"), (2, lines[0]), (2, lines[0])]
+    rows += [(i, f"{lines[1]}\n{lines[2]}") for i in (1, 2, 3, 4)] + [(None, lines[1]), (None, lines[1] + "\nmore")]
+    rows += [(9, f"a\n{lines[2]}"), (9, f"{lines[2]}\nb\n{lines[2]}"), (None, None), (7, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 3])
+def test_line_dedup(spark, documents, docs, no_docs, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    for d in (documents, docs, repeated_lines(spark)):
         got = sorted(map(tuple, line_dedup.report(d).collect()), key=repr)
         assert got == lines_by_hand([(r["doc_id"], r["text"]) for r in d.collect()])
     assert line_dedup.report(no_docs).count() == 0
@@ -228,6 +239,25 @@ def test_line_dedup(documents, docs, no_docs):
     assert clean.where("text is null").count() == 1
 
 
+def test_line_dedup_agrees_with_its_sql(spark, tmp_path):
+    """On repeated and null doc_ids too."""
+    import duckdb
+
+    d = repeated_lines(spark)
+    d.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = con.execute(line_dedup.ORACLE_SQL).fetchall()
+    assert sorted(map(tuple, line_dedup.report(d).collect()), key=repr) == sorted(want, key=repr)
+    five = [r for r in want if r[2]]
+    assert {r[0] for r in five} == {None, 1, 2, 3, 4} - ({4} if len(five) < 6 else set()) and all(r[2] == 0 for r in want if r[0] == 9)
+
+
+def test_a_hot_line_is_no_run_of_one_task(spark):
+    rows = spark.range(20000).selectExpr("id AS doc_id", "concat('this one line stands in all of the documents\n', id) AS text")
+    assert line_dedup.report(rows).agg(F.sum("n_dropped")).first()[0] == 19999
+
+
 def test_long_bitmaps(spark):
     line = "one line that is long enough to be counted here, surely"
     texts = {i: "\n".join(f"{i} own {j}" if j % 3 else line for j in range(200)) for i in range(6)}
