@@ -130,9 +130,121 @@ def test_a_passage_whose_pieces_stand_elsewhere_is_found(spark):
 
 def test_seeds_survive_packing():
     r = np.random.default_rng(0)
-    h, doc, p = r.integers(0, 1 << 64, 500, np.uint64), r.integers(-9, 1 << 62, 500), r.integers(0, 1 << 31, 500, np.int32)
-    back = [np.concatenate(x) for x in zip(*(substring_dedup._unpack(*row[1:]) for row in substring_dedup._pack(h, doc, p, 4)))]
-    assert sorted(zip(*(x.tolist() for x in back))) == sorted(zip(h.tolist(), doc.tolist(), p.tolist()))
+    h, p = r.integers(0, 1 << 64, 500, np.uint64), r.integers(0, 1 << 30, 500)
+    ids, tags = np.sort(r.integers(-9, 1 << 62, 20)), r.integers(0, 1 << 24, 20)
+    doc = r.integers(0, 20, 500)
+    back = [np.concatenate(x) for x in zip(*(substring_dedup._unpack(*row[1:]) for row in substring_dedup._pack(h, doc, p, ids, tags, 4)))]
+    low = h & np.uint64((1 << 8 * substring_dedup.HASH_BYTES) - 1)
+    assert sorted(zip(*(x.tolist() for x in back))) == sorted(zip(low.tolist(), ids[doc].tolist(), tags[doc].tolist(), p.tolist()))
+
+
+def invented(seed: int):
+    r = random.Random(seed)
+    return r, lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def spans_of(spark, texts, **kw):
+    rows = [(i, " ".join(t)) for i, t in (texts.items() if isinstance(texts, dict) else texts)]
+    return substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **kw).collect()
+
+
+def test_a_passage_whose_overlapping_pieces_stand_elsewhere_is_found(spark):
+    """No 5-gram of the passage is new to the two that share it, nor to the documents between them."""
+    _, new = invented(7)
+    whole = new(72)
+    pieces = {1: whole[:30], 2: whole[20:52], 3: whole[42:], 12: whole[:30], 13: whole[20:52], 14: whole[42:]}
+    texts = {i: new(90) + x + new(90) for i, x in pieces.items()} | {i: new(40 + i) + whole + new(50) for i in (10, 11, 15)}
+    found = [x for x in spans_of(spark, texts) if not x["first"]]
+    assert {x["doc_id"]: (x["start_word"], x["end_word"]) for x in found} == {11: (51, 123), 15: (55, 127)}
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    _, new = invented(8)
+    one, two = new(60), new(60)
+    three = two + new(20)
+    rows = [(1, new(300) + one), (2, new(5) + one + new(9)), (2, new(70) + two), (3, three), (3, three)]
+    found = spans_of(spark, rows)
+    texts = {(x["doc_id"], x["text_hash"]) for x in found}
+    assert len(texts) == 4 and len(found) == 4
+    later = {(x["doc_id"], x["other_doc_id"], x["start_word"], x["other_start"]): x for x in found if not x["first"]}
+    assert set(later) == {(2, 1, 5, 300), (3, 2, 0, 70)}
+    assert later[2, 1, 5, 300]["text_hash"] != later[3, 2, 0, 70]["other_text_hash"]
+
+
+def test_a_shorter_passage_is_not_padded(spark):
+    """49 equal words among others are no passage of 50, though 49 of 50 are more than 80 %."""
+    _, new = invented(10)
+    one, two = new(49), new(50)
+    found = spans_of(spark, {1: new(40) + one + new(40), 2: new(9) + one + new(60), 3: new(40) + two + new(40), 4: new(9) + two + new(60)})
+    assert {x["doc_id"] for x in found} == {3, 4}
+
+
+def test_one_word_on_and_on(spark):
+    """A text of one word gives few blocks, not one for each place and each place of the other."""
+    texts = {1: ["erin"] * 3000, 2: ["erin"] * 7000, 3: ["a", "b"] * 2000, 4: ["b", "a"] * 900}
+    found = [x for x in spans_of(spark, texts) if not x["first"]]
+    assert {x["doc_id"]: len({w for y in found if y["doc_id"] == x["doc_id"] for w in range(y["start_word"], y["end_word"])}) for x in found} == {2: 7000, 4: 1800}
+    assert len(found) < 50
+
+
+def test_exact_copies_are_found_whole(spark):
+    _, new = invented(9)
+    one, short = new(50), new(49)
+    found = spans_of(spark, {i: t for i, t in enumerate([one, one, short, short, one, new(80)])})
+    assert sorted((x["doc_id"], x["first"], x["start_word"], x["end_word"], x["other_doc_id"]) for x in found) == [(0, True, 0, 50, None), (1, False, 0, 50, 0), (4, False, 0, 50, 0)]
+
+
+def exact_by_hand(texts, size):
+    """Words of each document in runs of ``size`` that an earlier document holds."""
+    earlier, out = set(), {}
+    for i in sorted(texts):
+        runs = {s: tuple(texts[i][s : s + size]) for s in range(len(texts[i]) - size + 1)}
+        out[i] = {w for s, g in runs.items() if g in earlier for w in range(s, s + size)}
+        earlier |= set(runs.values())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_passages_in_mosaics_are_found(spark, monkeypatch, seed):
+    """Mosaics of shared pieces of many lengths, held to a brute force over all runs of 50 words: nearly every document and word."""
+    monkeypatch.setattr(substring_dedup, "LOCAL_BYTES", 1 << 12)
+    monkeypatch.setattr(substring_dedup, "MARGIN", 8)
+    r, new = invented(20 + seed)
+    pool = [new(r.randint(20, 140)) for _ in range(12)]
+    texts = {}
+    for i in range(60):
+        t = []
+        for _ in range(r.randint(1, 5)):
+            x = r.choice(pool)
+            a = r.randint(0, len(x) // 2)
+            t += x[a : a + r.randint(10, 140)] + new(r.choice([0, 3, 30]))
+        texts[i] = t
+    found = [x for x in spans_of(spark, texts) if not x["first"]]
+    want = exact_by_hand(texts, 50)
+    got = {i: {w for x in found if x["doc_id"] == i for w in range(x["start_word"], x["end_word"])} for i in texts}
+    missed = sum(len(want[i] - got[i]) for i in texts)
+    assert sum(map(len, want.values())) > 2000 and missed <= 0.03 * sum(map(len, want.values()))
+    assert sum(not got[i] for i in texts if want[i]) <= 1
+    for x in found:  # and each row is true
+        a, b = texts[x["doc_id"]][x["start_word"] : x["end_word"]], texts[x["other_doc_id"]][x["other_start"] : x["other_end"]]
+        assert x["other_doc_id"] < x["doc_id"] and x["n_words"] >= 50
+        assert 100 * substring_dedup._lcs(a, b) >= 80 * max(len(a), len(b))
+
+
+@pytest.mark.parametrize(("edits", "least"), [(0.1, 1.0), (0.15, 0.98), (0.18, 0.9)])
+def test_recall_of_edited_passages(spark, edits, least):
+    """Passages of 60 to 120 words with words changed, put in or left out at random, against all 100 planted."""
+    r, new = invented(int(100 * edits))
+    texts = {}
+    for i in range(100):
+        one, other = new(r.randint(60, 120)), []
+        for w in one:
+            x = r.random()
+            other += [w] if x >= edits else new(1) if x < 0.6 * edits else [w, *new(1)] if x < 0.8 * edits else []
+        texts[i], texts[1000 + i] = new(r.randint(10, 200)) + one + new(30), new(9) + other + new(r.randint(10, 90))
+    found = {(x["doc_id"], x["other_doc_id"]) for x in spans_of(spark, texts) if not x["first"]}
+    assert found <= {(1000 + i, i) for i in range(100)}
+    assert len(found) >= 100 * least
 
 
 def test_passages_odd_rows(docs, no_docs):
