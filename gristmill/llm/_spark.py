@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +35,13 @@ def record(batch: pa.RecordBatch, keep: tuple[str, ...], **columns: object) -> p
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a session without the setting (tests) gets a folder."""
+    """Checkpoints go where the cluster says; only a local session without the setting (tests) gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gristmill-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,27 +60,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Rows that several later steps read; a lost block is computed again from its lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def empty_text(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def quiet(f: Callable[[], object]) -> None:
-    with contextlib.suppress(Exception):
-        f()
-
-
-def filter_arrow(df: DataFrame, keep: Callable[[], Callable[[pa.Array], "pa.Array"]]) -> DataFrame:
+def filter_arrow(df: DataFrame, keep: Callable[[], Callable[[pa.Array], "pa.Array"]], limit: int = 1 << 20) -> DataFrame:
     """The rows, with all their columns, whose text passes; ``keep`` is called once in each task and gives a mask for texts."""
     from . import _text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = keep()
-        for batch, texts in _text.slices(batches, limit=1 << 20):
+        for batch, texts in _text.slices(batches, limit=limit):
             yield batch.filter(pa.array(passes(texts), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

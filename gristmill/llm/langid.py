@@ -8,6 +8,8 @@ text's words, with a penalty for a switch, labels each word; stretches of one la
 spans of a mixed text.  The text's language is the one with most letters, its score their
 share (so 0 to 1).
 
+Null ids are not held out: their rows are learnt from (their crc is null), and predicted like all.
+
 The model is ``buckets`` x languages numbers, whatever the corpus; it is fitted on at most
 about ``rows_per_lang`` labelled rows of each language, chosen by a hash of the text, and
 every prediction reads the text alone, the whole of it.
@@ -33,6 +35,8 @@ ROWS_PER_LANG = 4000
 SWITCH_PENALTY = 6.0
 #: Bytes of text that are scored at once: every letter takes some hundred bytes on the way.
 SLICE = 1 << 20
+#: Languages up to which texts are cut into blocks, each with a table of languages by languages.
+BLOCK_LANGS = 16
 #: A language uses a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.01
 
@@ -138,13 +142,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float, block: int =
 
     Texts are cut into blocks of words and all blocks go forward side by side, once for each
     label of their first word; then the blocks of a text are chained; then each block is
-    traced back from the labels that the chain gave its ends.
+    traced back from the labels that the chain gave its ends.  With more than ``BLOCK_LANGS``
+    labels, whose tables of labels by labels would be large, whole texts go forward side by side.
     """
     n, k = scores.shape
     labels = np.zeros(n, np.int16)
     size = np.diff(first)
     if not n or k == 1:
         return labels
+    if k > BLOCK_LANGS:
+        return _plain_viterbi(scores, first, penalty)
     scores = np.ascontiguousarray(scores.T, np.float64)
     count = -(-size // block)
     text = np.repeat(np.arange(len(size)), count)
@@ -213,6 +220,43 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float, block: int =
     return labels
 
 
+def _plain_viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """The same word by word: a switch costs the same from any label, so a step needs the best label only, and what is kept of a word is a bit a label and that one."""
+    n, k = scores.shape
+    labels = np.zeros(n, np.int16)
+    size = np.diff(first)
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
+    begin, size = first[:-1][order], size[order]
+    alive = np.searchsorted(-size, -np.arange(size[0] + 1), "left")  # texts longer than t
+    v = scores[begin].astype(np.float64)
+    stays, best = np.ones((n, k), bool), np.zeros(n, np.int16)
+    last = np.empty(len(begin), np.int16)
+    for t in range(1, size[0] + 1):
+        m = alive[t]
+        ended = slice(m, alive[t - 1])
+        last[ended] = v[ended].argmax(1)
+        if not m:
+            break
+        here = begin[:m] + t
+        top = v[:m].argmax(1)
+        switch = v[np.arange(m), top] - penalty
+        stays[here] = v[:m] >= switch[:, None]
+        best[here] = top
+        v = np.maximum(v[:m], switch[:, None]) + scores[here]
+    labels[begin + size - 1] = last
+    for t in range(size[0] - 1, 0, -1):
+        here = begin[: alive[t]] + t
+        now = labels[here]
+        labels[here - 1] = np.where(stays[here, now], now, best[here])
+    return labels
+
+
+def _slice_bytes(model: Model) -> int:
+    """Bytes of text that are scored at once: fewer for many languages, each of which takes some numbers a word."""
+    return max(1 << 14, SLICE * BLOCK_LANGS // max(BLOCK_LANGS, len(model.langs)))
+
+
 def fit(labelled: DataFrame, buckets: int = BUCKETS, rows_per_lang: int = ROWS_PER_LANG) -> Model:
     """Learns from text and lang of the rows whose lang is not null."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
@@ -250,7 +294,7 @@ def label(documents: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, texts in _text.slices(batches, limit=SLICE):
+        for batch, texts in _text.slices(batches, limit=_slice_bytes(model)):
             lang, score, found = predict(model, texts, penalty, spans)
             kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield _spark.record(batch, ("doc_id",), lang_pred=lang, score=score, **({"spans": pa.array(found, kind)} if spans else {}))
@@ -295,7 +339,7 @@ def keep(documents: DataFrame, min_score: float = 0.0, penalty: float = SWITCH_P
         lang, score, _ = predict(shared.value, texts, penalty)
         return (score >= min_score) & np.array([x != "und" for x in lang], bool)
 
-    return _spark.filter_arrow(documents, lambda: passes)
+    return _spark.filter_arrow(documents, lambda: passes, limit=_slice_bytes(model))
 
 
 def identify(documents: DataFrame, penalty: float = SWITCH_PENALTY) -> DataFrame:

@@ -42,6 +42,26 @@ def test_viterbi_finds_the_best_path():
                 assert np.isclose(total(labels[a:b]), max(map(total, itertools.product(range(3), repeat=b - a))), atol=1e-4)
 
 
+def test_many_languages_take_the_same_paths_in_little_memory():
+    r = np.random.default_rng(1)
+    for k in (17, 40):
+        sizes = r.integers(0, 90, 12)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        scores = r.normal(0, 2, (first[-1], k)).astype(np.float32)
+        blocks = langid.BLOCK_LANGS
+        langid.BLOCK_LANGS = 99
+        try:
+            want = langid.viterbi(scores, first, 3.0)
+        finally:
+            langid.BLOCK_LANGS = blocks
+        got = langid.viterbi(scores, first, 3.0)
+        total = lambda path, a, b: scores[np.arange(a, b), path[a:b]].astype(float).sum() - 3 * (np.diff(path[a:b]) != 0).sum()
+        for a, b in zip(first, first[1:]):
+            assert np.isclose(total(got, a, b), total(want, a, b), atol=1e-3)
+    model = langid.Model([str(i) for i in range(200)], np.ones((1 << 16, 200), np.int64), np.ones((langid.SCRIPTS, 200), np.int64))
+    assert langid._slice_bytes(model) * len(model.langs) <= langid.SLICE * langid.BLOCK_LANGS
+
+
 def test_spans_of_mixed_text(spark):
     d = spark.read.parquet(FAR)
     model = langid.fit(d.where(~langid.held_out()))
