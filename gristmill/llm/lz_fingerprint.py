@@ -13,7 +13,8 @@ range before it.  Only texts cross the shuffle, each once.
 
 Null texts count as empty; the empty text has an empty fingerprint, which is like itself
 (1) and unlike any other (0).  Rows with a null doc_id come last; rows with one doc_id are
-ordered by text.  A lone document is its own next.  Other columns are not read.
+ordered by their text's hash (xxhash64, unsigned), so that however many of them there are, they spread
+over ranges.  A lone document is its own next.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -123,53 +124,68 @@ def with_edits(documents: DataFrame, size: int = SIZE, ranges: int | None = None
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     doc_id is of an integer type.  ``ranges``: four for each shuffle partition if not given,
-    at most MAX_RANGES; a range is read as a stream, so its size costs time only.
+    at most MAX_RANGES; a range is read as a stream, so its size costs time only.  Edges of ranges come from
+    percentiles, so an id that many rows share is an edge several times and gets as many ranges.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", _spark.empty_text().alias("text"))
-    n = ranges or min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0]
-    edges = np.array(sorted(set(found or [])) if n > 1 else [], np.int64)
-
-    def place(ids: pa.Array) -> np.ndarray:
-        """The range of each id: how many edges it lies on or above; null ids are in the last."""
-        at = np.searchsorted(edges, ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), "right")
-        return np.where(np.asarray(ids.is_null()), len(edges), at)
+    docs = documents.select("doc_id", _spark.empty_text().alias("text")).withColumn("gm_h", F.xxhash64("text"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or min(MAX_RANGES, 4 * partitions)
+    facts = docs.agg(F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("edges")).first()
+    edges = np.array(sorted(facts["edges"] or []) if n > 1 else [], np.int64)
+    spare = max(1, -(-facts["nulls"] * n // max(1, facts["rows"])))  # ranges of null ids
+
+    def place(ids: pa.Array, h: np.ndarray) -> np.ndarray:
+        """The range of each row; an id that takes several ranges by itself, and null ids, are spread by their texts' hashes."""
+        key = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        part = (h.view(np.uint64) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+        lo, hi = np.searchsorted(edges, key, "left"), np.searchsorted(edges, key, "right")
+        at = np.where(hi > lo, lo + 1 + (part * np.maximum(hi - lo, 1)).astype(np.int64), lo)
+        return np.where(np.asarray(ids.is_null()), len(edges) + 1 + (part * spare).astype(np.int64), at).astype(np.int32)
+
+    def signed(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        # the order of the ranges is that of unsigned hashes
+        return batch.column(batch.schema.get_field_index(name)).to_numpy() ^ np.int64(-(1 << 63))
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lowest id of each range in a task; a range of null ids only has a null."""
-        least: dict[int, int | None] = {}
+        """The lowest id and hash of each range in a batch."""
         for batch in batches:
-            ids = batch.column(0)
-            for r, i in zip(place(ids).tolist(), ids.to_pylist()):
-                if i is not None and (least.get(r) is None or i < least[r]):
-                    least[r] = i
-                else:
-                    least.setdefault(r, i)
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.int64())], names=["r", "i"])
-
-    first = docs.select("doc_id").mapInArrow(lowest, "r int, i long").groupBy("r").agg(F.min("i").alias("i")).orderBy("r").collect()
-    heads = {r["i"]: r["r"] for r in first}  # a range's first id and the range
+            if not batch.num_rows:
+                continue
+            ids, h = batch.column(0), signed(batch, "gm_h")
+            at = place(ids, batch.column(1).to_numpy())
+            key = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            order = np.lexsort((h, key, at))
+            head = order[np.append(True, at[order][1:] != at[order][:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(at[head]), pa.array(key[head]), pa.array(h[head])], names=["r", "i", "h"])
+
+    first = docs.select("doc_id", "gm_h").mapInArrow(lowest, "r int, i long, h long").groupBy("r").agg(F.min(F.struct("i", "h")).alias("x")).select("r", "x.*").orderBy("r").collect()
     order = [r["r"] for r in first]
     before = {b: a for a, b in zip(order[-1:] + order, order)}
+    heads = {(r["r"], r["i"], r["h"]): before[r["r"]] for r in first}  # a range's first row, and the range before
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row goes to its range; a range's first row also to the range before (the first's to the last)."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0)
-            at = place(ids)
-            guests = [(k, before[r]) for k, (i, r) in enumerate(zip(ids.to_pylist(), at.tolist())) if heads.get(i, -1) == r]
+            ids, h = batch.column(0), signed(batch, "gm_h")
+            at = place(ids, batch.column(2).to_numpy())
+            key = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            guests = [(k, to) for k, x in enumerate(zip(at.tolist(), key.tolist(), h.tolist())) if (to := heads.get(x)) is not None]
             rows = pa.array([*range(batch.num_rows), *(k for k, _ in guests)])
             to = pa.array([*at.tolist(), *(r for _, r in guests)], pa.int32())
             guest = pa.array([False] * batch.num_rows + [True] * len(guests))
-            yield pa.RecordBatch.from_arrays([ids.take(rows), batch.column(1).take(rows), to, guest], names=["doc_id", "text", "gm_range", "gm_guest"])
+            yield pa.RecordBatch.from_arrays([ids.take(rows), batch.column(1).take(rows), pa.array(h).take(rows), to, guest], names=["doc_id", "text", "gm_h", "gm_range", "gm_guest"])
 
+    # every partition has the same number of ranges, one beside the other
+    total = len(edges) + 1 + spare
+    wide = min(total, partitions)
     dealt = (
-        _spark.map_arrow(docs, deal, "gm_range int, gm_guest boolean", keep=("doc_id", "text"))
-        .repartition("gm_range")
-        .sortWithinPartitions("gm_range", "gm_guest", F.col("doc_id").asc_nulls_last(), "text")
+        _spark.map_arrow(docs, deal, "gm_h long, gm_range int, gm_guest boolean", keep=("doc_id", "text"), read=("doc_id", "text", "gm_h"))
+        .repartitionById(wide, F.floor(F.col("gm_range").cast("long") * wide / total).cast("int"))
+        .sortWithinPartitions("gm_range", "gm_guest", F.col("doc_id").asc_nulls_last(), "gm_h", "text")
+        .select("doc_id", "text", "gm_range", "gm_guest")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

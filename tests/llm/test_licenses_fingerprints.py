@@ -166,9 +166,10 @@ def test_edited_parse_starts_where_the_text_is_unchanged(text, following):
 
 
 @pytest.mark.parametrize("ranges", [1, 5, None])
-def test_with_edits(documents, docs, no_docs, ranges):
-    for d in (documents, docs):
-        rows = sorted(((r["doc_id"], r["text"] or "") for r in d.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+def test_with_edits(spark, documents, docs, no_docs, ranges):
+    many = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text {i % 200} of many {i}") for i in range(300)]
+    for d in (documents, docs, spark.createDataFrame(many, "doc_id long, text string").repartition(4)):
+        rows = sorted(((r["doc_id"], r["text"] or "") for r in d.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, x[0] or 0, xxhash.xxh64_intdigest(x[1].encode(), 42), x[1]))
         want = []
         for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
             n = len(t) // 4
