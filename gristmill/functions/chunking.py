@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import PY_SPACE, collapse
+
 SIZE, OVERLAP = 1000, 200
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
@@ -47,10 +49,28 @@ def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return F.aggregate(pieces(text, size), start, step, lambda s: F.when(F.length(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
 
 
+def _last(length: Column, size: int, overlap: int) -> Column:
+    """The number of the last window."""
+    return F.floor((F.greatest(F.lit(1), length - overlap) - 1) / (size - overlap)).cast("int")
+
+
+def window_count(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """How many windows a text has."""
+    return F.when(text.isNotNull(), _last(F.length(collapse(text, PY_SPACE)), size, overlap) + 1)
+
+
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Fixed windows of the collapsed text, ``size - overlap`` apart."""
-    from .text import PY_SPACE, collapse
+    """Fixed windows of the collapsed text, ``size - overlap`` apart.
+
+    The text is collapsed and cut into steps once; a window is put together from the steps that it
+    covers, so the cost follows the text's length.
+    """
+    step = size - overlap
+    covered = -(-size // step)
+
+    def cut(flat: Column) -> Column:
+        steps = F.regexp_extract_all(flat, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+        window = lambda of: lambda i: F.substr(F.array_join(F.slice(of, i + 1, F.lit(covered)), ""), F.lit(1), F.lit(size))
+        return F.transform(F.array(steps), lambda of: F.transform(F.sequence(F.lit(0), _last(F.length(flat), size, overlap)), window(of)))[0]
 
-    flat = collapse(text, PY_SPACE)
-    last = F.greatest(F.lit(1), F.length(flat) - overlap) - 1
-    return F.transform(F.sequence(F.lit(0), F.floor(last / (size - overlap)).cast("int")), lambda i: F.substr(flat, i * (size - overlap) + 1, F.lit(size)))
+    return F.when(text.isNotNull(), F.transform(F.array(collapse(text, PY_SPACE)), cut)[0])

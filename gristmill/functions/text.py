@@ -200,6 +200,11 @@ def request_key(model: Column, messages: Column) -> Column:
     return F.sha2(F.concat_ws("\n", model, F.to_json(messages)), 256)
 
 
+def iso(ts: Column) -> Column:
+    """A moment in UTC to the millisecond, as scripts write it."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def extension_type(name: Column) -> Column:
     """A file's media type by its name."""
     n = F.lower(name)

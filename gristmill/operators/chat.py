@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from gristmill.functions import text
 
-MESSAGES, CHARS = 40, 64_000
+MESSAGES, CHARS, MAX_CONVERSATIONS = 40, 64_000, 500
 WIRE = "array<struct<id: string, role: string, parts: array<struct<type: string, text: string>>>>"
 
 
@@ -77,3 +77,43 @@ def lines(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """The lines of replies with their number and what they are shown as."""
     other = [c for c in replies.columns if c != reply]
     return replies.select(*other, F.posexplode(F.split(F.col(reply), "\n", -1)).alias("line_no", "line")).withColumn("kind", text.line_kind(F.col("line")))
+
+
+def append_messages(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations and messages after new messages (conv_id, user_id, role, text, created_at), and those that were turned down.
+
+    A message goes into a conversation of its own user only.  It brings updated_at forward, and the first
+    user message with text names a conversation that has no title yet.
+    """
+    owner = conversations.select("conv_id", "user_id")
+    accepted = new.join(owner, ["conv_id", "user_id"], "left_semi")
+    rejected = new.join(owner, ["conv_id", "user_id"], "left_anti").withColumn("reason", F.lit("not_found_or_not_owned"))
+    asks = (F.col("role") == "user") & ~text.blank(F.col("text"))
+    facts = accepted.groupBy("conv_id").agg(F.max("created_at").alias("gm_at"), F.min_by(F.when(asks, F.col("text")), F.when(asks, F.col("created_at"))).alias("gm_first"))
+    touched = conversations.join(facts, "conv_id", "left")
+    touched = touched.withColumn("title", F.coalesce("title", text.title(F.col("gm_first")))).withColumn("updated_at", F.greatest("updated_at", "gm_at")).select(*conversations.columns)
+    return touched, messages.unionByName(accepted.select("conv_id", "role", "text", "created_at")), rejected
+
+
+def create_conversations(conversations: DataFrame, requests: DataFrame, limit: int = MAX_CONVERSATIONS) -> tuple[DataFrame, DataFrame]:
+    """Conversations with those asked for (user_id, conv_id, created_at) that fit under each user's limit, in order; and the others with their reason."""
+    have = conversations.groupBy("user_id").agg(F.count("*").alias("gm_have"))
+    w = Window.partitionBy("user_id").orderBy("created_at", "conv_id")
+    ranked = requests.join(have, "user_id", "left").withColumn("gm_owned", F.row_number().over(w) - 1 + F.coalesce("gm_have", F.lit(0)))
+    judged = ranked.withColumn("reason", F.when(F.col("gm_owned") >= limit, "too_many_conversations")).drop("gm_owned", "gm_have")
+    made = judged.where("reason is null").select("conv_id", "user_id", F.lit(None).cast("string").alias("title"), "created_at", F.col("created_at").alias("updated_at"))
+    return conversations.unionByName(made), judged.where("reason is not null")
+
+
+def get_or_create(conversations: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """user_id and conv_id of the conversation that each visiting user (user_id, at) is in, and the conversations with those opened for users without any."""
+    first = visits.groupBy("user_id").agg(F.min("at").alias("at"))
+    opened = first.join(conversations.select("user_id").distinct(), "user_id", "left_anti")
+    opened = opened.select(F.sha2(F.concat_ws("\n", F.lit("conversation"), F.col("user_id").cast("string")), 256).alias("conv_id"), "user_id", F.lit(None).cast("string").alias("title"), F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+    every = conversations.withColumn("conv_id", F.col("conv_id").cast("string")).unionByName(opened)
+    return active(every.join(first.select("user_id"), "user_id", "left_semi")).select("user_id", "conv_id"), every
+
+
+def listing(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows as lists show them: newest first by the first column that is given, then by the others."""
+    return rows.orderBy(F.desc(by[0]), *by[1:])

@@ -23,12 +23,12 @@ def scan(reply: Column) -> Column:
 
 
 def verdict(cited: Column, sources: Column, max_quote: int = MAX_QUOTE, space: str = text.WEB_SPACE) -> Column:
-    """What holds of one citation; sources: array of structs with name and content.
+    """What holds of one citation; sources: array of structs with name and collapsed content.
 
-    A quote is looked for in the collapsed contents of the sources with the cited name, once
+    A quote is looked for in the contents of the sources with the cited name, once
     as it is and once without wrapping marks; empty quotes are nowhere.
     """
-    own = F.transform(F.filter(sources, lambda s: s["name"] == cited["name"]), lambda s: text.collapse(s["content"], space))
+    own = F.transform(F.filter(sources, lambda s: s["name"] == cited["name"]), lambda s: s["content"])
     strict = text.collapse(cited["quote"], space)
     quote = text.collapse(text.strip_wrapping(cited["quote"], space), space)
     inside = lambda q: (F.length(q) > 0) & F.exists(own, lambda t: F.contains(t, q))
@@ -46,9 +46,12 @@ def verdict(cited: Column, sources: Column, max_quote: int = MAX_QUOTE, space: s
 
 def verify(replies: DataFrame, reply: str = "reply", sources: str = "sources") -> DataFrame:
     """The replies with verdicts (array of structs) and the number of malformed lines."""
-    found = replies.withColumn("gm_scan", scan(F.col(reply)))
-    out = found.withColumn("verdicts", F.transform("gm_scan.citations", lambda c: verdict(c, F.col(sources))))
-    return out.withColumn("malformed", F.size("gm_scan.malformed")).drop("gm_scan")
+    # sources are collapsed once for all citations of a reply, and not at all for replies without any
+    flat = F.transform(sources, lambda s: F.struct(s["name"].alias("name"), text.collapse(s["content"]).alias("content")))
+    found = replies.withColumn("gm_scan", scan(F.col(reply))).withColumn("gm_sources", F.array(F.when(F.size("gm_scan.citations") > 0, flat)))
+    verdicts = F.transform("gm_sources", lambda own: F.transform("gm_scan.citations", lambda c: verdict(c, own)))[0]
+    out = found.withColumn("verdicts", verdicts)
+    return out.withColumn("malformed", F.size("gm_scan.malformed")).drop("gm_scan", "gm_sources")
 
 
 def rows(verified: DataFrame, *keep: str) -> DataFrame:

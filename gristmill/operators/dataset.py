@@ -80,34 +80,56 @@ def shuffled(context: Column, seed: Column) -> Column:
 
 
 def pair_turns(kept: DataFrame, unused: DataFrame) -> DataFrame:
-    """Kept examples and unused golds of one library, the n-th with the n-th by hash: each is used once."""
-    rank = lambda c: F.row_number().over(Window.partitionBy("library").orderBy(F.md5(F.col(c).cast("string"))))
-    a, b = kept.select("library", "example_id", rank("example_id").alias("n")), unused.select("library", "gold_id", rank("gold_id").alias("n"))
-    return a.join(b, ["library", "n"]).select("library", "example_id", "gold_id")
+    """Kept examples and unused golds of one library, each used once, of another document where there is one.
+
+    Both sides lie sorted by document, then by hash, and the golds are turned by the size of the
+    library's largest document among either, so that a document's examples meet golds behind its own
+    as far as there are enough of others.
+    """
+    by = lambda c: Window.partitionBy("library").orderBy("document", F.md5(F.col(c).cast("string")))
+    a = kept.select("library", F.col("document"), "example_id", (F.row_number().over(by("example_id")) - 1).alias("n"))
+    b = unused.select("library", F.col("document"), "gold_id", (F.row_number().over(by("gold_id")) - 1).alias("m"))
+    sizes = lambda df: df.groupBy("library", "document").agg(F.count("*").alias("k")).groupBy("library").agg(F.max("k").alias("k"), F.sum("k").alias("total"))
+    facts = sizes(a).select("library", F.col("k").alias("ka")).join(sizes(b).select("library", F.col("k").alias("kb"), "total"), "library")
+    turned = b.join(facts, "library").select("library", F.col("document").alias("gold_document"), "gold_id", F.pmod(F.col("m") - F.greatest("ka", "kb"), F.col("total")).alias("n"))
+    return a.join(turned, ["library", "n"]).select("library", "example_id", "gold_id")
 
 
-def quota(candidates: DataFrame, total: int, per_item: int = 1) -> DataFrame:
-    """The leading candidates (place) whose expected yield adds up to no more than the total, or reaches it with the last."""
-    return candidates.where(F.col("place") <= -(-total // per_item))
+def quota(candidates: DataFrame, total: int, yielded: str = "yielded") -> DataFrame:
+    """The leading candidates (place) up to the one with which what they ``yielded`` reaches the total.
+
+    The running sum is taken in two steps, so that no task has all candidates: within ranges of places,
+    and over the ranges' sums.
+    """
+    width = 1 << 16
+    block = F.floor((F.col("place") - 1) / width)
+    inside = Window.partitionBy("gm_block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = candidates.withColumn("gm_block", block)
+    sums = rows.groupBy("gm_block").agg(F.sum(yielded).alias("gm_sum"))
+    before = sums.withColumn("gm_before", F.coalesce(F.sum("gm_sum").over(Window.orderBy("gm_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("gm_sum")
+    so_far = F.coalesce(F.sum(yielded).over(inside), F.lit(0))
+    return rows.withColumn("gm_so_far", so_far).join(before, "gm_block").where(F.col("gm_so_far") + F.col("gm_before") < total).drop("gm_block", "gm_before", "gm_so_far")
 
 
 def _golds(gold: Column, verdicts: Column, sources: Column) -> Column:
     """Of each gold text: is a valid quote in it, and which valid quotes name its document and may run over its edge."""
     flat = lambda c: text.collapse(c, text.PY_SPACE)
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  computed once for all its uses
     valid = F.transform(F.filter(verdicts, lambda v: v["valid"]), lambda v: F.struct(v["name"].alias("name"), flat(text.strip_wrapping(v["quote"], text.PY_SPACE)).alias("quote")))
 
-    def cited(g: Column) -> Column:
-        t = flat(F.coalesce(g["text"], F.lit("")))
-        inside = F.exists(valid, lambda v: (F.length(v["quote"]) > 0) & F.contains(t, v["quote"]))
-        names = F.transform(F.filter(sources, lambda s: flat(s["content"]) == t), lambda s: s["name"])
-        return F.struct(inside.alias("inside"), t.alias("text"), F.transform(F.filter(valid, lambda v: F.array_contains(names, v["name"]) & (F.length(v["quote"]) > 0)), lambda v: v["quote"]).alias("quotes"))
+    def cited(t: Column, own: Column, said: Column) -> Column:
+        inside = F.exists(said, lambda v: (F.length(v["quote"]) > 0) & F.contains(t, v["quote"]))
+        names = F.transform(F.filter(own, lambda s: s["content"] == t), lambda s: s["name"])
+        return F.struct(inside.alias("inside"), t.alias("text"), F.transform(F.filter(said, lambda v: F.array_contains(names, v["name"]) & (F.length(v["quote"]) > 0)), lambda v: v["quote"]).alias("quotes"))
 
-    return F.transform(gold, cited)
+    contents = F.transform(sources, lambda s: F.struct(s["name"].alias("name"), flat(s["content"]).alias("content")))
+    each = lambda own, said: F.transform(gold, lambda g: bound(flat(F.coalesce(g["text"], F.lit(""))), lambda t: cited(t, own, said)))
+    return bound(contents, lambda own: bound(valid, lambda said: each(own, said)))
 
 
 @F.pandas_udf(T.BooleanType())  # a type by name would need a session here
 def _runs_over_edges(golds: pd.Series) -> pd.Series:
-    """For each row: is every gold inside a quote, or shared by one over a long enough run."""
+    """For each row: is every gold inside a quote, or shared by one over a long enough run; null rows are settled already."""
 
     def one(row: Any) -> bool:
         for g in row if row is not None else []:
@@ -133,7 +155,11 @@ def check(examples: DataFrame, contract: Contract = Contract()) -> DataFrame:
     if "gold" in names:
         # the Python function reads a plain column; it is kept out of the expressions around it
         ex = ex.withColumn("gm_golds", _golds(F.col("gold"), F.col("verdicts"), F.col("sources")))
-        ex = ex.withColumn("gm_cited", F.forall("gm_golds", lambda g: g["inside"]) | _runs_over_edges.asNondeterministic()("gm_golds")).drop("gm_golds")
+        # and gets a null where it isn't needed: all golds cited, nothing that could be, or a check before that fails
+        open_ = F.forall("verdicts", lambda v: v["valid"]) & F.exists("gm_golds", lambda g: ~g["inside"]) & F.forall("gm_golds", lambda g: g["inside"] | (F.size(g["quotes"]) > 0))
+        ex = ex.withColumn("gm_open", F.when(open_, F.col("gm_golds")))
+        settled = F.forall("gm_golds", lambda g: g["inside"])
+        ex = ex.withColumn("gm_cited", settled | (F.col("gm_open").isNotNull() & _runs_over_edges.asNondeterministic()("gm_open"))).drop("gm_golds", "gm_open")
     else:
         ex = ex.withColumn("gm_cited", F.lit(True))
     n = F.size("verdicts")
@@ -234,9 +260,20 @@ def split_name(library: Column, test: tuple[str, ...] = TEST, validation: tuple[
 
 
 def split_report(examples: DataFrame, test: tuple[str, ...] = TEST, validation: tuple[str, ...] = VALIDATION) -> DataFrame:
-    """split, count and its libraries, sorted and joined."""
+    """split, count, its libraries, sorted and joined, and counts by type (if there are types) as ``type=n``, joined."""
     s = examples.withColumn("split", split_name(F.col("library"), test, validation))
-    return s.groupBy("split").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("library")), ",").alias("libraries"))
+    out = s.groupBy("split").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("library")), ",").alias("libraries"))
+    if "type" not in examples.columns:
+        return out
+    types = s.groupBy("split", "type").agg(F.count("*").alias("k"))
+    shown = F.transform(F.sort_array(F.collect_list(F.struct("type", "k"))), lambda x: F.concat_ws("=", x["type"], x["k"].cast("string")))
+    return out.join(types.groupBy("split").agg(F.array_join(shown, ",").alias("by_type")), "split")
+
+
+def kept_counts(kept: DataFrame, *by: str) -> DataFrame:
+    """Counts of kept examples by type, library or the like (field, value, n), most first, then by value."""
+    rows = kept.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in by])).alias("x"))
+    return rows.groupBy("x.field", "x.value").agg(F.count("*").alias("n")).orderBy("field", F.desc("n"), "value")
 
 
 def leaks(documents: DataFrame) -> DataFrame:

@@ -86,3 +86,28 @@ def citation_metrics(replies: DataFrame, *by: str) -> DataFrame:
 def answer_passes(answerable, verdicts):
     """A reply passes if it cites validly where an answer was due, and not at all where none was."""
     return F.when(answerable, F.exists(verdicts, lambda v: v["valid"])).otherwise(F.size(verdicts) == 0)
+
+
+def generation_counters(replies: DataFrame, *by: str) -> DataFrame:
+    """Counts over generated replies (error, verdicts, malformed, ttft_ms, latency_ms): answered, errors, what is well formed, cited and valid, and medians.
+
+    A reply with an error counts as nothing else.
+    """
+    ok = F.col("error").isNull()
+    n, valid = F.size("verdicts"), F.size(F.filter("verdicts", lambda v: v["valid"]))
+    return replies.groupBy(*by).agg(
+        F.count_if(ok).alias("answered"),
+        F.count_if(~ok).alias("errors"),
+        F.count_if(ok & (F.col("malformed") == 0)).alias("format_compliant"),
+        F.count_if(ok & (valid > 0)).alias("with_valid_citation"),
+        F.count_if(ok & (n == 0)).alias("without_citation"),
+        F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).alias("citations"),
+        F.coalesce(F.sum(F.when(ok, valid)), F.lit(0)).alias("valid_citations"),
+        F.median(F.when(ok, F.col("ttft_ms"))).alias("median_ttft_ms"),
+        F.median(F.when(ok, F.col("latency_ms"))).alias("median_latency_ms"),
+    )
+
+
+def first_questions(questions: DataFrame, n: int, order: str = "query_id") -> DataFrame:
+    """The first n questions of an evaluation; all for 0 or less."""
+    return questions.orderBy(order).limit(n) if n > 0 else questions

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,16 +60,50 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return requests.join(last, "key"), requests.join(last, "key", "left_anti")
 
 
-def swap_in(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Writes a table anew: to a folder beside it first, then by one rename each; readers see the old or the new one."""
-    spark = df.sparkSession
-    staged, old = f"{path}.staged", f"{path}.old"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(staged)
+def cache_counters(requests: DataFrame, cache: DataFrame, *by: str) -> DataFrame:
+    """Hits and misses of requests (key) in the cache."""
+    known = cache.select("key").distinct().withColumn("gm_hit", F.lit(True))
+    found = requests.join(known, "key", "left")
+    return found.groupBy(*by).agg(F.count_if(F.col("gm_hit").isNotNull()).alias("hits"), F.count_if(F.col("gm_hit").isNull()).alias("misses"))
+
+
+def ingest(documents: DataFrame, chunks: DataFrame, new_documents: DataFrame, new_chunks: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents and chunks after an upload, and the documents that the quota turned down: a document comes in with all its chunks or not at all.
+
+    ``publish`` writes both under one version, so that readers see both or neither.
+    """
+    fit = within_quota(documents, new_documents, limit)
+    kept = fit.select("document_id")
+    added = fit.select(*documents.columns)
+    return documents.unionByName(added), chunks.unionByName(new_chunks.join(kept, "document_id", "left_semi").select(*chunks.columns)), new_documents.join(kept, "document_id", "left_anti")
+
+
+def publish(path: str, **tables: DataFrame) -> str:
+    """Writes tables as the next version below a path, and then swings the one pointer to it; returns the version.
+
+    The pointer is replaced by a rename that overwrites, so a reader finds the old version or the new
+    one, whole, at any time, also if the writer is lost halfway.
+    """
+    spark = next(iter(tables.values())).sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(conf)
-    fs.delete(p(old), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(staged), p(path))
-    fs.delete(p(old), True)
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(conf)
+    taken = [s.getPath().getName() for s in fs.listStatus(at(path))] if fs.exists(at(path)) else []
+    version = f"v{max([int(n[1:]) for n in taken if n[:1] == 'v' and n[1:].isdigit()], default=0) + 1:06d}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    out = fs.create(at(f"{path}/CURRENT.next"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), conf)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context.rename(at(f"{fs.makeQualified(at(path)).toString()}/CURRENT.next"), at(f"{fs.makeQualified(at(path)).toString()}/CURRENT"), how)
+    return version
+
+
+def current(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table in the version that the pointer names."""
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    return spark.read.parquet(f"{path}/{version}/{name}")

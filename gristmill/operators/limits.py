@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.functions import text
 
 MB = 1 << 20
-MAX_BYTES, MAX_NAME, MAX_CHUNKS, MAX_DOCUMENTS, MAX_QUESTION, MAX_CONVERSATIONS = 10 * MB, 255, 500, 100, 2000, 500
+MAX_BYTES, MAX_NAME, MAX_CHUNKS, MAX_DOCUMENTS, MAX_QUESTION = 10 * MB, 255, 500, 100, 2000
 
 
 def rate_window(calls: DataFrame, limit: int, window_ms: int, count_rejected: bool = False) -> DataFrame:
@@ -16,29 +20,37 @@ def rate_window(calls: DataFrame, limit: int, window_ms: int, count_rejected: bo
 
     A key's window opens with its first call and ends ``window_ms`` later; the next call opens
     another.  Calls beyond the limit are rejected and (unless ``count_rejected``) not counted;
-    what is accepted is the same either way.  A key's calls are folded in order, so one task
-    holds all calls of one key.
+    what is accepted is the same either way.  A key's calls lie sorted in one task and are read as a
+    stream with two numbers of state, whatever their number.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("at_ms", "call_id")))
-    start = F.struct(F.lit(0).cast("long").alias("reset"), F.lit(0).alias("count"), F.array().cast("array<struct<call_id:bigint,at_ms:bigint,ok:boolean,remaining:int,retry_after:bigint>>").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        opened = (F.size(s["out"]) == 0) | (s["reset"] <= c["at_ms"])
-        reset = F.when(opened, c["at_ms"] + window_ms).otherwise(s["reset"])
-        seen = F.when(opened, 0).otherwise(s["count"])
-        ok = seen < limit
-        count = F.when(ok | F.lit(count_rejected), seen + 1).otherwise(seen)
-        row = F.struct(
-            c["call_id"].cast("long").alias("call_id"),
-            c["at_ms"].alias("at_ms"),
-            ok.alias("ok"),
-            F.when(ok, F.lit(limit) - seen - 1).cast("int").alias("remaining"),
-            F.when(~ok, F.ceil((reset - c["at_ms"]) / 1000)).cast("long").alias("retry_after"),
-        )
-        return F.struct(reset.cast("long").alias("reset"), count.cast("int").alias("count"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = calls.groupBy("key").agg(ordered.alias("gm_calls")).select("key", F.explode(F.aggregate("gm_calls", start, step, lambda s: s["out"])).alias("r"))
-    return folded.select("key", "r.*")
+    rows = calls.select("key", F.col("call_id").cast("long").alias("call_id"), F.col("at_ms").cast("long").alias("at_ms"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = fold  # no key yet
+        reset = count = 0
+        for batch in batches:
+            ok, remaining, retry = [], [], []
+            for key, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if key != now or reset <= at:
+                    now, reset, count = key, at + window_ms, 0
+                fits = count < limit
+                ok.append(fits)
+                remaining.append(limit - count - 1 if fits else None)
+                retry.append(None if fits else -(-(reset - at) // 1000))
+                count += fits or count_rejected
+            added = (pa.array(ok, pa.bool_()), pa.array(remaining, pa.int32()), pa.array(retry, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "ok", "remaining", "retry_after"])
+
+    schema = T.StructType(rows.schema.fields + T._parse_datatype_string("ok boolean, remaining int, retry_after long").fields)
+    return rows.repartition("key").sortWithinPartitions("key", "at_ms", "call_id").mapInArrow(fold, schema)
+
+
+def open_rate_window(calls: DataFrame, limit: int, window_ms: int, failed: Column) -> DataFrame:
+    """``rate_window`` where rejected calls count too and calls that the store couldn't answer (``failed``) pass: they are let in uncounted."""
+    marked = calls.withColumn("gm_failed", F.coalesce(failed, F.lit(False)))
+    judged = rate_window(marked.where("not gm_failed"), limit, window_ms, count_rejected=True)
+    through = marked.where("gm_failed").select("key", F.col("call_id").cast("long").alias("call_id"), F.col("at_ms").cast("long").alias("at_ms"))
+    return judged.unionByName(through.select("*", F.lit(True).alias("ok"), F.lit(limit).alias("remaining"), F.lit(None).cast("long").alias("retry_after")))
 
 
 def two_tiers(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
@@ -49,8 +61,8 @@ def two_tiers(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
     return minute.join(late, "call_id", "left").select("key", "call_id", "at_ms", F.when(~F.col("ok"), "minute").otherwise(F.col("tier")).alias("rejected_by"))
 
 
-def upload_problem(n_bytes: Column, media_type: Column, content: Column, n_chunks: Column, owned: Column) -> Column:
-    """The first reason against an upload; null if it may come in."""
+def upload_problem(n_bytes: Column, media_type: Column, content: Column, n_chunks: Column, owned: Column, dims: Column | None = None, wanted_dims: int = 1536) -> Column:
+    """The first reason against an upload; null if it may come in.  ``dims``: length of its chunks' vectors, if there are any yet."""
     return (
         F.when(owned >= MAX_DOCUMENTS, "quota")
         .when(n_bytes == 0, "empty")
@@ -59,6 +71,7 @@ def upload_problem(n_bytes: Column, media_type: Column, content: Column, n_chunk
         .when(text.blank(content), "no_text")
         .when(n_chunks == 0, "no_chunks")
         .when(n_chunks > MAX_CHUNKS, "too_many_chunks")
+        .when(F.lit(False) if dims is None else dims != wanted_dims, "bad_dimensions")
     )
 
 

@@ -54,8 +54,35 @@ def verdict() -> Column:
 
 
 def rollup(stats: DataFrame, by: str = "library") -> DataFrame:
-    """Documents, chunks and passing documents of each library, and of all (null)."""
-    return stats.rollup(by).agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunks"), F.count_if(F.col("verdict") == "ok").alias("ok"))
+    """Documents, chunks, passing documents, PDFs and their share in percent of each library, and of all (null)."""
+    n = F.count("*")
+    pdf = F.count_if(F.endswith("document", F.lit(".pdf")))
+    return stats.rollup(by).agg(n.alias("documents"), F.sum("chunks").alias("chunks"), F.count_if(F.col("verdict") == "ok").alias("ok"), pdf.alias("pdf"), F.floor(pdf * 100 / F.greatest(n, F.lit(1))).alias("pdf_percent"))
+
+
+def report_lines(stats: DataFrame) -> DataFrame:
+    """A corpus report in markdown, a line a row, in order of section, place and line: totals, libraries, documents, what is flagged."""
+    r = rollup(stats)
+    head = lambda n, *x: stats.sparkSession.createDataFrame([(n, "", line) for line in x], "section int, place string, line string")
+    row = lambda n, place, form, *c: (F.lit(n).alias("section"), place.alias("place"), F.format_string(form, *c).alias("line"))
+    total = r.where("library is null").select(*row(1, F.lit(""), "Documents: **%d** (%d PDFs, %d%%), chunks: **%d**, passing all heuristics: **%d**", "documents", "pdf", "pdf_percent", "chunks", "ok"))
+    libraries = r.where("library is not null").select(*row(3, F.col("library"), "| %s | %d | %d | %d | %d |", "library", "documents", "ok", "pdf", "chunks"))
+    each = stats.select(*row(5, F.col("document"), "| %s | %s | %d | %d | %s | %s | %d | %s |", "document", "library", "chunks", "chars", F.col("alpha_ratio").cast("string"), F.col("short_line_ratio").cast("string"), "mean_chunk_chars", "verdict"))
+    flagged = stats.where("verdict <> 'ok'").select(*row(7, F.col("document"), "- `%s` (%s): %s", "document", "library", "verdict"))
+    parts = [
+        head(0, "# Corpus quality report", ""),
+        total,
+        head(2, "", "## Per library", "", "| library | docs | ok | PDFs | chunks |", "|---|---|---|---|---|"),
+        libraries,
+        head(4, "", "## Per document", "", "| document | library | chunks | chars | alpha | short lines | mean chunk | verdict |", "|---|---|---|---|---|---|---|---|"),
+        each,
+        head(6, "", "## Flagged", ""),
+        flagged,
+    ]
+    out = parts[0].withColumn("n", F.monotonically_increasing_id())
+    for p in parts[1:]:
+        out = out.unionByName(p.withColumn("n", F.monotonically_increasing_id()))
+    return out.orderBy("section", "place", "n").select("section", "place", "line")
 
 
 def with_manifest(stats: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -89,6 +116,25 @@ def fetch_report(files: DataFrame) -> DataFrame:
     return files.select("path", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.coalesce(file_problem(F.col("content"), F.col("kind")), F.lit("ok")).alias("status"))
 
 
+def fetch_summary(report: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files that are there by library (null: all), how many of them are PDFs, their size in MiB, and how many failed; report: path and so on, manifest: filename, library."""
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = report.withColumn("filename", name).join(manifest.select("filename", "library"), "filename")
+    ok = F.col("status") == "ok"
+    return rows.rollup("library").agg(
+        F.count_if(ok).alias("documents"),
+        F.count_if(ok & F.endswith("filename", F.lit(".pdf"))).alias("pdf"),
+        F.round(F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0)) / (1 << 20), 3).alias("mb"),
+        F.count_if(~ok).alias("failures"),
+    )
+
+
+def document_text(chunks: DataFrame) -> DataFrame:
+    """document and its chunks' collapsed texts in order, joined by blanks; chunks: document, chunk_index, text."""
+    parts = F.sort_array(F.collect_list(F.struct("chunk_index", text.collapse(F.col("text")).alias("t"))))
+    return chunks.groupBy("document").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
+
+
 def split_into(content: Column, parts: int) -> Column:
     """A text in parts of like size: at blank lines, else at lines, else at fixed steps."""
     whole = F.regexp_replace(content, r"\r\n?", "\n")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.functions import text
+from gristmill.functions import stem, text
 
 TOP_K, RRF_K, OVERFETCH = 5, 60, 3
 K1, B = 1.5, 0.75
@@ -48,8 +48,11 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
 
 def dense(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, chunk_id, rank and similarity of the k chunks of the tenant nearest by cosine; exact."""
-    q = usable(queries, k).select("query_id", "tenant", F.col("embedding").alias("q"))
-    scored = chunks.select("chunk_id", "tenant", F.col("embedding").alias("c")).join(q, "tenant").select("query_id", "chunk_id", cosine(F.col("q"), F.col("c")).alias("similarity"))
+    # norms are taken once a row, not once a pair; rows without a vector have no place here
+    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    q = usable(queries, k).where("embedding is not null").select("query_id", "tenant", F.col("embedding").alias("q")).withColumn("nq", norm("q"))
+    c = chunks.where("embedding is not null").select("chunk_id", "tenant", F.col("embedding").alias("c")).withColumn("nc", norm("c"))
+    scored = c.join(q, "tenant").select("query_id", "chunk_id", (dot(F.col("q"), F.col("c")) / (F.col("nq") * F.col("nc"))).alias("similarity"))
     return top_k(scored, k, F.desc("similarity"), F.asc("chunk_id"))
 
 
@@ -71,6 +74,19 @@ def sparse(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     return top_k(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).withColumn("similarity", F.lit(0.0))
 
 
+def full_text(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+    """``sparse`` over English stems: "install" finds "installing".  Stop words of full-text search are left out on both sides."""
+
+    def counted(rows: DataFrame, *keep: str) -> DataFrame:
+        t = rows.select(*keep, stem.lexemes(F.col("text")).alias("tokens"))
+        n = t.select(*keep, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(*keep, "length", "term").agg(F.count("*").alias("tf"))
+        return stem.stemmed(n).groupBy(*keep, "length", "term").agg(F.sum("tf").alias("tf"))
+
+    hits = counted(chunks, "tenant", "chunk_id").join(counted(usable(queries, k), "query_id", "tenant").select("query_id", "tenant", "term"), ["tenant", "term"])
+    scored = hits.groupBy("query_id", "chunk_id").agg((F.sum("tf") / F.first(F.log(F.col("length") + 1.0))).alias("score"))
+    return top_k(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).withColumn("similarity", F.lit(0.0))
+
+
 def collection_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings; per tenant the number of chunks and their mean length; per tenant and term the idf."""
     p = postings(chunks)
@@ -79,13 +95,13 @@ def collection_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return p, sizes, idf
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
-    """Okapi BM25 in each tenant; chunks without any term score 0 and fill up k.
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, stats: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Okapi BM25 in each tenant; chunks without any term score 0 and fill up k.  ``stats``: what ``collection_stats`` gave for the chunks, if it is at hand.
 
     Only matching chunks are scored.  The k least chunk_ids of a tenant stand ready to fill up,
     so the zero scores never meet all queries: k of them suffice beside k - 1 matches or fewer.
     """
-    p, sizes, idf = collection_stats(chunks)
+    p, sizes, idf = stats or collection_stats(chunks)
     terms = query_terms(usable(queries, k))
     norm = F.when(F.col("mean_length") > 0, k1 * (1 - b + b * F.col("length") / F.col("mean_length"))).otherwise(F.lit(k1))
     hits = p.join(terms, ["tenant", "term"]).join(idf, ["tenant", "term"]).join(sizes.select("tenant", "mean_length"), "tenant")

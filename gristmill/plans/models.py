@@ -93,3 +93,37 @@ def is_answerable(span: Column, passages: Column) -> Column:
 
 def describe_sources(names: Column) -> Column:
     return F.concat(F.lit("The sources cover "), F.array_join(F.array_distinct(names), ", "), F.lit("."))
+
+
+class Extractive:
+    """A teacher in expressions alone: it asks about the words that a stretch of a passage begins with, and answers with that stretch."""
+
+    STEP, ASKED, QUOTED = 100, 30, 60
+
+    def _span(self, passage: Column, i: int | Column = 0) -> Column:
+        return F.btrim(F.substr(passage, F.lit(1) + F.lit(i) * self.STEP if isinstance(i, int) else i * self.STEP + 1, F.lit(self.QUOTED)), F.lit(" "))
+
+    def _topic(self, passage: Column, i: int | Column = 0) -> Column:
+        return F.substr(passage, F.lit(1) + F.lit(i) * self.STEP if isinstance(i, int) else i * self.STEP + 1, F.lit(self.ASKED))
+
+    def questions(self, passage: Column, n: int) -> Column:
+        one = lambda i: F.struct(F.concat(F.lit("What about "), self._topic(passage, i), F.lit("?")).alias("question"), self._span(passage, i).alias("answer_span"))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one), lambda q: F.length(q["answer_span"]) > 0)
+
+    def two_passage_question(self, a: Column, b: Column) -> Column:
+        asked = F.concat(F.lit("What about "), self._topic(a), F.lit(", and "), self._topic(b), F.lit("?"))
+        return F.struct(asked.alias("question"), self._span(a).alias("answer_span_a"), self._span(b).alias("answer_span_b"))
+
+    def answer(self, question: Column, sources: Column, names: Column, spans: Column) -> Column:
+        lines = F.zip_with(names, spans, lambda n, s: F.concat(F.lit("> **"), n, F.lit("** — "), s))
+        return F.concat(F.lit("The document says so.\n"), F.array_join(lines, "\n"))
+
+    def is_answerable(self, question: Column, span: Column, sources: Column) -> Column:
+        return is_answerable(span, F.transform(sources, lambda s: s["content"]))
+
+    def describe_sources(self, sources: Column) -> Column:
+        return describe_sources(F.transform(sources, lambda s: s["name"]))
+
+    def partial_check(self, question: Column, reply: Column) -> Column:
+        """What a reply to a question in two parts does: it cites, so one part is covered; and it says what isn't there, or doesn't."""
+        return F.struct(F.rlike(reply, F.lit(r"(?m)^> \*\*.+\*\* — ")).alias("covers"), F.rlike(reply, F.lit(r"(?i)\bnot (?:say|said|cover|covered|mention|mentioned)\b")).alias("acknowledges"))

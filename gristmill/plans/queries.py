@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import chunking, repair, text
-from gristmill.operators import chat, citations, dataset, evaluate, lifecycle, limits, prompts, quality, retrieve
+from gristmill.operators import build, chat, citations, dataset, evaluate, lifecycle, limits, prompts, quality, retrieve
+from gristmill.plans import models
 from gristmill.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +93,12 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.sparse(q, c).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query()
+def full_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = _lexical(spark, sf_dir)
+    return retrieve.full_text(q, c).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"""
 WITH {_LEXICAL}, n AS (SELECT tenant, count(*) AS n, avg(len(toks)) AS mean FROM c GROUP BY tenant),
 d AS (SELECT tenant, term, count(*) AS df FROM p GROUP BY ALL),
@@ -107,30 +115,30 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT c.doc_id AS chunk_id, c.source AS tenant, c.text, e.embedding::DOUBLE[] AS v FROM documents c JOIN embeddings e ON e.vec_id = c.doc_id)
+WITH p AS (SELECT doc_id AS chunk_id, source AS tenant, text FROM documents)
 SELECT tenant, term, count(*) AS df, sum(tf) AS occurrences FROM (
   SELECT tenant, chunk_id, term, count(*) AS tf FROM (SELECT tenant, chunk_id, unnest(""" + _tokens("text") + """) AS term FROM p) GROUP BY ALL
 ) GROUP BY ALL
 """)
 def collection_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, c = _both(spark, sf_dir)
+    _, c = _lexical(spark, sf_dir)
     return retrieve.postings(c).groupBy("tenant", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with vectors; every twentieth asks with its beginning."""
+    """Documents, with their vectors where they have one; every twentieth asks with its beginning."""
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    c = load(spark, sf_dir, "documents").join(e, "doc_id").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("tenant"), "text", "embedding")
+    c = load(spark, sf_dir, "documents").join(e, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("tenant"), "text", "embedding")
     q = c.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "tenant", F.substring("text", 1, 80).alias("text"), "embedding", F.array(F.substring("text", 100, 30)).alias("expected"))
     return q, c
 
 
 _BOTH = f"""
-c AS (SELECT d.doc_id AS chunk_id, d.source AS tenant, d.text, e.embedding::DOUBLE[] AS v FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+c AS (SELECT d.doc_id AS chunk_id, d.source AS tenant, d.text, e.embedding::DOUBLE[] AS v FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 q AS (SELECT chunk_id AS query_id, tenant, substr(text, 1, 80) AS text, v, substr(text, 100, 30) AS expected FROM c WHERE chunk_id % 20 = 0),
 dense AS (SELECT * FROM (
   SELECT query_id, chunk_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank
-  FROM (SELECT query_id, chunk_id, list_cosine_similarity(q.v, c.v) AS sim FROM q JOIN c USING (tenant))) WHERE rank <= 15),
+  FROM (SELECT query_id, chunk_id, list_cosine_similarity(q.v, c.v) AS sim FROM q JOIN c USING (tenant) WHERE q.v IS NOT NULL AND c.v IS NOT NULL)) WHERE rank <= 15),
 p AS (SELECT tenant, chunk_id, len(toks) AS length, term, count(*) AS tf FROM (SELECT *, unnest(toks) AS term FROM (SELECT tenant, chunk_id, {_tokens("text")} AS toks FROM c)) GROUP BY ALL),
 t AS (SELECT DISTINCT query_id, tenant, term FROM (SELECT query_id, tenant, unnest({_tokens("text")}) AS term FROM q)),
 sparse AS (SELECT * FROM (
@@ -214,6 +222,12 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "chunk_index", F.length("chunk").cast("long").alias("n"), F.md5("chunk").alias("digest"))
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document and chunk_index of all windows, from the texts' lengths alone."""
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return load(spark, sf_dir, "documents").select(name.alias("document"), F.explode(F.sequence(F.lit(0), chunking.window_count(F.col("text")) - 1)).alias("chunk_index"))
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
@@ -233,12 +247,12 @@ def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WINDOWS} SELECT a.document, a.chunk_index, b.chunk_index AS neighbour FROM w a JOIN w b ON a.document = b.document AND abs(a.chunk_index - b.chunk_index) = 1")
 def chunk_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.neighbours(_windows(spark, sf_dir))
+    return retrieve.neighbours(_places(spark, sf_dir))
 
 
 @query(f"WITH {_WINDOWS}, g AS (SELECT document AS example_id, document, 1 AS gold FROM (SELECT DISTINCT document FROM w) ) SELECT g.example_id, w.document, w.chunk_index FROM w JOIN g USING (document) WHERE abs(w.chunk_index - g.gold) > 1")
 def exclude_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _windows(spark, sf_dir).select("document", "chunk_index")
+    c = _places(spark, sf_dir)
     gold = c.select("document").distinct().select(F.col("document").alias("example_id"), "document", F.lit(1).alias("chunk_index"))
     return retrieve.without_gold(c, gold).select("example_id", "document", "chunk_index")
 
@@ -258,18 +272,22 @@ def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- corpus -------------------------------------------------------------------------------
 
-_STATS = f"""{_WINDOWS}, f AS (
-  SELECT library, document, chunk_index, text, length(text) AS chars, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM w),
+_STATS = f"""{_WINDOWS}, o AS (SELECT * REPLACE (replace(CASE WHEN doc_id % 2 = 0 THEN replace(text, '. ', '.' || chr(10)) ELSE text END, CASE WHEN doc_id % 9 = 0 THEN 'er' ELSE chr(0) END, chr(65533)) AS text) FROM w), f AS (
+  SELECT library, document, chunk_index, text, length(text) AS chars, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda x: trim(x)), lambda x: x <> '') AS ls, length(text) - length(replace(text, chr(65533), '')) AS fffd FROM o),
 s AS (
   SELECT library, document, count(*) AS chunks, sum(chars) + count(*) - 1 AS chars, round(sum(letters) / greatest(sum(chars) + count(*) - 1, 1), 3) AS alpha_ratio,
-    round(sum(len(list_filter(ls, lambda x: length(x) < 25))) / greatest(sum(len(ls)), 1), 3) AS short_line_ratio, round_even(avg(length({_collapse("text")})), 0)::BIGINT AS mean_chunk_chars, 0::BIGINT AS replacement_chars
+    round(sum(len(list_filter(ls, lambda x: length(x) < 25))) / greatest(sum(len(ls)), 1), 3) AS short_line_ratio, round_even(avg(length({_collapse("text")})), 0)::BIGINT AS mean_chunk_chars, sum(fffd)::BIGINT AS replacement_chars
   FROM f GROUP BY library, document),
-v AS (SELECT *, coalesce(nullif(array_to_string(list_filter([CASE WHEN alpha_ratio < 0.55 THEN 'low-alpha' END, CASE WHEN short_line_ratio > 0.45 THEN 'short-lines' END, CASE WHEN chunks < 3 THEN 'too-small' END], lambda x: x IS NOT NULL), ','), ''), 'ok') AS verdict FROM s)
+v AS (SELECT *, coalesce(nullif(array_to_string(list_filter([CASE WHEN alpha_ratio < 0.55 THEN 'low-alpha' END, CASE WHEN short_line_ratio > 0.45 THEN 'short-lines' END, CASE WHEN chunks < 3 THEN 'too-small' END, CASE WHEN replacement_chars > 0 THEN 'encoding' END], lambda x: x IS NOT NULL), ','), ''), 'ok') AS verdict FROM s)
 """
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.statistics(_windows(spark, sf_dir), "library", "document").withColumn("verdict", quality.verdict())
+    """Statistics of windows in which some sentences begin a line and some characters were lost."""
+    w = _windows(spark, sf_dir)
+    broken = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(". "), F.lit(".\n"))).otherwise(F.col("text"))
+    broken = F.when(F.col("doc_id") % 9 == 0, F.replace(broken, F.lit("er"), F.lit("\ufffd"))).otherwise(broken)
+    return quality.statistics(w.withColumn("text", broken), "library", "document").withColumn("verdict", quality.verdict())
 
 
 @query(f"WITH {_STATS} SELECT * FROM v")
@@ -277,9 +295,25 @@ def corpus_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir)
 
 
-@query(f"WITH {_STATS} SELECT library, count(*) AS documents, sum(chunks) AS chunks, count(*) FILTER (verdict = 'ok') AS ok FROM v GROUP BY ROLLUP (library)")
+@query(f"WITH {_STATS} SELECT library, count(*) AS documents, sum(chunks) AS chunks, count(*) FILTER (verdict = 'ok') AS ok, count(*) FILTER (document LIKE '%0.txt') AS pdf, count(*) FILTER (document LIKE '%0.txt') * 100 // count(*) AS pdf_percent FROM v GROUP BY ROLLUP (library)")
 def corpus_library_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rollup(_stats(spark, sf_dir))
+    return quality.rollup(_stats(spark, sf_dir).withColumn("document", F.regexp_replace("document", r"0\.txt$", "0.pdf")))
+
+
+@query(f"WITH {_WINDOWS} SELECT document, md5(string_agg({_collapse('text')}, ' ' ORDER BY chunk_index)) AS digest FROM w GROUP BY document")
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_text(_windows(spark, sf_dir)).select("document", F.md5("text").alias("digest"))
+
+
+@query("""
+WITH f AS (SELECT 'lib' || (page_id % 3) AS library, page_id % 4 = 0 AS is_pdf, octet_length(encode(html)) AS bytes, octet_length(encode(html)) < 2000 OR page_id % 4 = 0 OR length(regexp_replace(substr(html, 1, 20000), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) / length(substr(html, 1, 20000)) <= 0.97 OR regexp_matches(substr(html, 1, 2000), '(?i)<!doctype html|<html') AS failed FROM pages)
+SELECT library, count(*) FILTER (NOT failed) AS documents, count(*) FILTER (NOT failed AND is_pdf) AS pdf, round(coalesce(sum(bytes) FILTER (NOT failed), 0) / 1048576, 3) AS mb, count(*) FILTER (failed) AS failures FROM f GROUP BY ROLLUP (library)
+""")
+def fetch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdf = F.col("page_id") % 4 == 0
+    name = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.when(pdf, ".pdf").otherwise(".txt"))
+    p = load(spark, sf_dir, "pages").select(name.alias("path"), F.col("html").cast("binary").alias("content"), F.when(pdf, "pdf").otherwise("text").alias("kind"), F.concat(F.lit("lib"), (F.col("page_id") % 3).cast("string")).alias("library"))
+    return quality.fetch_summary(quality.fetch_report(p), p.select(F.col("path").alias("filename"), "library"))
 
 
 @query(f"""
@@ -310,9 +344,14 @@ def part_name_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", text.whole_file(F.col("document")).alias("whole"), text.display_name(F.col("document"), F.col("doc_title"), F.col("style")).alias("shown"), "library")
 
 
-@query("SELECT split, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS libraries FROM (SELECT source, CASE WHEN source IN ('src1', 'src2') THEN 'test' WHEN source = 'src3' THEN 'validation' ELSE 'train' END AS split FROM documents) GROUP BY split")
+@query("""
+WITH s AS (SELECT source, coalesce(lang, '?') AS type, CASE WHEN source IN ('src1', 'src2') THEN 'test' WHEN source = 'src3' THEN 'validation' ELSE 'train' END AS split FROM documents),
+t AS (SELECT split, string_agg(type || '=' || k, ',' ORDER BY type) AS by_type FROM (SELECT split, type, count(*) AS k FROM s GROUP BY ALL) GROUP BY split)
+SELECT split, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS libraries, first(by_type) AS by_type FROM s JOIN t USING (split) GROUP BY split
+""")
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.split_report(load(spark, sf_dir, "documents").withColumnRenamed("source", "library"), ("src1", "src2"), ("src3",))
+    d = load(spark, sf_dir, "documents").select(F.col("source").alias("library"), F.coalesce("lang", F.lit("?")).alias("type"))
+    return dataset.split_report(d, ("src1", "src2"), ("src3",))
 
 
 @query("SELECT document, count(DISTINCT split) AS splits FROM (SELECT md5(text) AS document, CASE WHEN source IN ('src1', 'src2') THEN 'test' WHEN source = 'src3' THEN 'validation' ELSE 'train' END AS split FROM documents) GROUP BY document HAVING count(DISTINCT split) > 1")
@@ -327,15 +366,15 @@ _QUOTE = f"substr({_collapse('text')}, 11, CASE WHEN doc_id % 7 = 6 THEN 260 ELS
 _REPLIES = f"""
 r0 AS (SELECT doc_id, source, text, 'doc-' || doc_id || '.txt' AS own, trim({_QUOTE}, ' ') AS q FROM documents),
 r AS (SELECT *, CASE doc_id % 7 WHEN 1 THEN '“' || q || '”' WHEN 3 THEN replace(q, 'e', '3') ELSE q END AS shown, CASE WHEN doc_id % 7 = 2 THEN 'other.txt' ELSE own END AS cited FROM r0),
-reply AS (SELECT *, 'Yes.' || chr(10) || CASE WHEN doc_id % 7 = 5 THEN '  ' ELSE '' END || '> **' || cited || CASE WHEN doc_id % 7 = 4 THEN '** - ' ELSE '** — ' END || shown AS reply FROM r),
+reply AS (SELECT *, CASE WHEN doc_id % 29 = 11 THEN 'Yes.' ELSE 'Yes.' || chr(10) || CASE WHEN doc_id % 7 = 5 THEN '  ' ELSE '' END || '> **' || cited || CASE WHEN doc_id % 7 = 4 THEN '** - ' ELSE '** — ' END || shown END AS reply FROM r),
 v AS (
-  SELECT doc_id, own, source, text, reply, doc_id % 7 IN (4, 5) OR shown = '' AS bad, cited, shown, cited = own AS known, q <> '' AND doc_id % 7 <> 2 AND contains({_collapse("text")}, CASE WHEN doc_id % 7 = 3 THEN shown ELSE q END) AS verbatim,
+  SELECT doc_id, own, source, text, reply, doc_id % 29 = 11 AS bare, doc_id % 29 <> 11 AND (doc_id % 7 IN (4, 5) OR shown = '') AS bad, cited, shown, cited = own AS known, q <> '' AND doc_id % 7 <> 2 AND contains({_collapse("text")}, CASE WHEN doc_id % 7 = 3 THEN shown ELSE q END) AS verbatim,
     shown <> '' AND doc_id % 7 <> 2 AND contains({_collapse("text")}, shown) AS verbatim_strict, length(q) <= 200 AS within_length FROM reply)
 """
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made-up reply for each document: good, wrapped, wrongly named, changed, malformed, indented or too long."""
+    """A made-up reply for each document: good, wrapped, wrongly named, changed, malformed, indented, too long or without any mark."""
     kind = F.col("doc_id") % 7
     own = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
     q = F.btrim(F.substr(text.collapse(F.col("text")), F.lit(11), F.when(kind == 6, 260).otherwise(60)), F.lit(" "))
@@ -343,24 +382,25 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(kind == 1, F.concat(F.lit("“"), "q", F.lit("”"))).when(kind == 3, F.replace("q", F.lit("e"), F.lit("3"))).otherwise(F.col("q"))
     cited = F.when(kind == 2, "other.txt").otherwise(F.col("own"))
     reply = F.concat(F.lit("Yes.\n"), F.when(kind == 5, "  ").otherwise(""), F.lit("> **"), cited, F.when(kind == 4, "** - ").otherwise("** — "), shown)
+    reply = F.when(F.col("doc_id") % 29 == 11, "Yes.").otherwise(reply)
     sources = F.array(F.struct(F.col("own").alias("name"), F.col("text").alias("content")), F.struct(F.lit("else.txt").alias("name"), F.lit("").alias("content")))
     return d.select("doc_id", "source", "own", "text", reply.alias("reply"), sources.alias("sources"))
 
 
-@query(f"WITH {_REPLIES} SELECT doc_id, CASE WHEN bad THEN 0 ELSE 1 END AS citations, CASE WHEN bad THEN 1 ELSE 0 END AS malformed FROM v")
+@query(f"WITH {_REPLIES} SELECT doc_id, CASE WHEN bad OR bare THEN 0 ELSE 1 END AS citations, CASE WHEN bad THEN 1 ELSE 0 END AS malformed FROM v")
 def citation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _replies(spark, sf_dir).select("doc_id", citations.scan(F.col("reply")).alias("s"))
     return s.select("doc_id", F.size("s.citations").alias("citations"), F.size("s.malformed").alias("malformed"))
 
 
-@query(f"WITH {_REPLIES} SELECT doc_id, 0 AS position, cited AS name, shown AS quote, known, verbatim, verbatim_strict, within_length, known AND verbatim AND within_length AS valid FROM v WHERE NOT bad")
+@query(f"WITH {_REPLIES} SELECT doc_id, 0 AS position, cited AS name, shown AS quote, known, verbatim, verbatim_strict, within_length, known AND verbatim AND within_length AS valid FROM v WHERE NOT bad AND NOT bare")
 def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.rows(citations.verify(_replies(spark, sf_dir)), "doc_id")
 
 
 @query(f"""
-WITH {_REPLIES}, x AS (SELECT source, count(*) AS replies, count(*) FILTER (NOT bad) AS citations, count(*) FILTER (bad) AS bad, count(*) FILTER (NOT bad AND known AND verbatim AND within_length) AS ok, count(*) FILTER (NOT bad AND known AND verbatim AND within_length AND verbatim_strict) AS strict FROM v GROUP BY source)
-SELECT source, replies, citations, round((replies - bad) / replies, 6) AS format_compliance, round(ok / citations, 6) AS precision_lenient, round(strict / citations, 6) AS precision_strict, round(ok / replies, 6) AS with_valid_citation, bad AS replies_without_citation, 0 AS replies_without_any_mark FROM x
+WITH {_REPLIES}, x AS (SELECT source, count(*) AS replies, count(*) FILTER (NOT bad AND NOT bare) AS citations, count(*) FILTER (bad) AS bad, count(*) FILTER (bare) AS bare, count(*) FILTER (NOT bad AND NOT bare AND known AND verbatim AND within_length) AS ok, count(*) FILTER (NOT bad AND NOT bare AND known AND verbatim AND within_length AND verbatim_strict) AS strict FROM v GROUP BY source)
+SELECT source, replies, citations, round((replies - bad) / replies, 6) AS format_compliance, round(ok / citations, 6) AS precision_lenient, round(strict / citations, 6) AS precision_strict, round(ok / replies, 6) AS with_valid_citation, bad + bare AS replies_without_citation, bare AS replies_without_any_mark FROM x
 """)
 def citation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evaluate.citation_metrics(citations.verify(_replies(spark, sf_dir)), "source")
@@ -373,19 +413,35 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("doc_id", F.md5(prompts.prompt(F.lit("What?"), F.col("sources"))).alias("digest"))
 
 
+_ABSTENTION = prompts.Contract().abstention()
+
+
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies as examples: every tenth one should have abstained, every eleventh is empty."""
-    abstains = F.col("doc_id") % 10 == 0
-    gold = F.array(F.struct(F.col("own").alias("document"), F.lit(0).alias("index"), F.col("text").alias("text")))
-    target = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("reply"))
-    return _replies(spark, sf_dir).select(
-        F.col("doc_id").alias("example_id"), F.col("source").alias("library"), F.concat(F.lit("What about "), F.substring("text", 1, 60)).alias("question"), F.when(abstains, "negative").otherwise("single").alias("type"), (~abstains).alias("answerable"), target.alias("target"), "sources", gold.alias("gold")
+    """Replies as examples, so that each check fails for some: those that should have abstained (and cite, or don't, or say it otherwise), partial ones, empty ones, long ones, ones without citation, ones whose gold is elsewhere."""
+    i = F.col("doc_id")
+    kind = F.when(i % 10 == 0, "negative").when(i % 10 == 1, "partial").when(i % 10 == 2, "multiturn_answerable").otherwise("single")
+    gold = F.array(F.struct(F.col("own").alias("document"), F.lit(0).alias("index"), F.when(i % 13 == 5, "A passage that stands nowhere in the sources, and that no quote can come from.").otherwise(F.col("text")).alias("text")))
+    target = (
+        F.when(i % 11 == 0, "")
+        .when(i % 40 == 10, F.concat(F.lit(_ABSTENTION), F.lit(" More.")))
+        .when(i % 40 == 20, "I had rather not say.")
+        .when(i % 19 == 7, "It does, and nothing is cited.")
+        .otherwise(F.col("reply"))
     )
+    return _replies(spark, sf_dir).select(
+        i.alias("example_id"), F.col("source").alias("library"), F.concat(F.lit("What about "), F.substring("text", 1, 60)).alias("question"), kind.alias("type"), (i % 10 != 0).alias("answerable"), target.alias("target"),
+        "sources", gold.alias("gold"), (i % 3 != 0).alias("covers"), (i % 2 == 0).alias("acknowledges"), F.when(i % 17 == 3, dataset.MAX_CHARS).otherwise(0).alias("rendered_chars"),
+    )
 
 
 _CHECKED = f"""{_REPLIES}, k AS (
-  SELECT doc_id AS example_id, CASE WHEN doc_id % 10 = 0 THEN 'negative' ELSE 'single' END AS type, CASE WHEN doc_id % 11 = 0 THEN 'empty_target' WHEN bad THEN 'malformed_citation_line' WHEN doc_id % 10 = 0 THEN 'abstention_has_citation'
-    WHEN NOT known THEN 'unknown_document_name' WHEN NOT verbatim THEN 'quote_not_verbatim' WHEN NOT within_length THEN 'quote_too_long' END AS reason FROM v)
+  SELECT doc_id AS example_id, source AS library, CASE doc_id % 10 WHEN 0 THEN 'negative' WHEN 1 THEN 'partial' WHEN 2 THEN 'multiturn_answerable' ELSE 'single' END AS type,
+    CASE WHEN doc_id % 11 = 0 THEN 'empty_target' WHEN doc_id % 17 = 3 THEN 'too_long'
+    WHEN doc_id % 40 = 10 THEN NULL WHEN doc_id % 40 = 20 THEN 'abstention_not_canonical'
+    WHEN doc_id % 19 = 7 THEN CASE WHEN doc_id % 10 = 0 THEN 'abstention_not_canonical' ELSE 'no_citation' END
+    WHEN bad THEN 'malformed_citation_line' WHEN bare THEN CASE WHEN doc_id % 10 = 0 THEN 'abstention_not_canonical' ELSE 'no_citation' END WHEN doc_id % 10 = 0 THEN 'abstention_has_citation'
+    WHEN NOT known THEN 'unknown_document_name' WHEN NOT verbatim THEN 'quote_not_verbatim' WHEN NOT within_length THEN 'quote_too_long'
+    WHEN doc_id % 13 = 5 THEN 'gold_not_cited' WHEN doc_id % 10 = 1 AND doc_id % 3 = 0 THEN 'partial_covered_part_missing' WHEN doc_id % 10 = 1 AND doc_id % 2 <> 0 THEN 'partial_uncovered_not_acknowledged' END AS reason FROM v)
 """
 
 
@@ -399,17 +455,142 @@ def filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.filter_stats(dataset.check(_examples(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_CHECKED} SELECT field, value, count(*) AS n FROM (SELECT unnest(['type', 'library']) AS field, unnest([type, library]) AS value FROM k WHERE reason IS NULL) GROUP BY ALL")
+def kept_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.kept_counts(dataset.check(_examples(spark, sf_dir)).where("reason is null"), "type", "library")
+
+
+_LOOSE = f"translate(lower({{}}), '{(text.MARKS + text.DASHES).replace(chr(39), chr(39) * 2)}', '{chr(39) * 2 * len(text.MARKS)}{'-' * len(text.DASHES)}')"
+
+
+@query(rf"""
+WITH f AS (SELECT doc_id, 'doc-' || doc_id || '.txt' AS own, {_collapse("text", _PY)} AS t FROM documents),
+c AS (SELECT *, trim(substr(t, 11, CASE WHEN doc_id % 7 = 6 THEN 260 ELSE 60 END), ' ') AS q FROM f),
+d AS (SELECT *, instr({_LOOSE.format("t")}, {_LOOSE.format("q")}) AS pos, NOT contains(q, 'ß') AND rtrim(ltrim(q, '"''“‘«‹.'), '"''”’»›.,;:!? ') = q AND q NOT LIKE '%...%' AND q NOT LIKE '%…%' AS plain FROM c),
+w AS (SELECT doc_id, string_split(q, ' ') AS ws FROM d WHERE doc_id % 7 = 6 AND length(q) > 200),
+a AS (SELECT doc_id, ws, list_transform(range(0, len(ws) + 1), lambda k: list_sum(list_transform(ws[1:k], lambda x: length(x) + 1))) AS cum FROM w),
+s AS (SELECT doc_id, i, ws, max(j) AS j FROM (SELECT doc_id, ws, cum, unnest(range(0, len(ws))) AS i FROM a) JOIN (SELECT doc_id AS d2, cum AS cum2, unnest(range(1, len(ws) + 1)) AS j FROM a) ON doc_id = d2 AND j > i AND cum2[j + 1] - 1 - coalesce(cum2[i + 1], 0) <= 200 GROUP BY ALL),
+b AS (SELECT doc_id, arg_max(array_to_string(ws[i + 1:j], ' '), (CASE WHEN len(list_filter(flatten(list_transform(ws[i + 1:j], lambda x: regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]{{3,}}'))), lambda x: x = 'yes')) > 0 THEN 1 ELSE 0 END) * 100000000 + length(array_to_string(ws[i + 1:j], ' ')) * 10000 + 9999 - i) AS short FROM s GROUP BY doc_id)
+SELECT d.doc_id AS example_id, CASE WHEN q = '' OR NOT plain THEN '' ELSE CASE doc_id % 7
+  WHEN 3 THEN CASE WHEN upper(q) = q OR contains(t, upper(q)) THEN '' ELSE 'quote_normalized' END WHEN 1 THEN CASE WHEN contains(t, '“' || q || '”') THEN '' ELSE 'quote_unwrapped' END WHEN 2 THEN 'document_name_case' WHEN 4 THEN 'quote_trimmed' WHEN 5 THEN 'citation_dedented'
+  WHEN 6 THEN CASE WHEN b.short IS NULL THEN '' ELSE 'quote_shortened' END ELSE '' END END AS kinds,
+  CASE WHEN q = '' OR NOT plain THEN '' ELSE 'Yes.' || chr(10) || '> **' || own || '** — ' || CASE WHEN doc_id % 7 = 3 THEN CASE WHEN upper(q) = q OR contains(t, upper(q)) THEN upper(q) ELSE substr(t, pos, length(q)) END WHEN doc_id % 7 = 1 AND contains(t, '“' || q || '”') THEN '“' || q || '”' ELSE coalesce(b.short, q) END END AS target
+FROM d LEFT JOIN b USING (doc_id)
+""")
 def repair_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = repair.repair(_examples(spark, sf_dir))
-    return fixed.select("example_id", "target", F.array_join(F.transform("repairs", lambda r: r["kind"]), ",").alias("kinds"))
+    """Replies that are off in one way each: wrapped, name or quote in capitals, dotted, indented, too long; quotes with marks of their own at an end are left out of it."""
+    i = F.col("doc_id")
+    own = F.concat(F.lit("doc-"), i.cast("string"), F.lit(".txt"))
+    q = F.btrim(F.substr(text.collapse(F.col("text"), _PY), F.lit(11), F.when(i % 7 == 6, 260).otherwise(60)), F.lit(" "))
+    d = load(spark, sf_dir, "documents").select("doc_id", own.alias("own"), "text", q.alias("q"))
+    plain = ~F.contains("q", F.lit("ß")) & (F.rtrim(F.ltrim("q", F.lit(repair._OPEN + ".")), F.lit(repair._CLOSE + repair._POINTS + " ")) == F.col("q")) & ~F.contains("q", F.lit("...")) & ~F.contains("q", F.lit("…")) & (F.col("q") != "")
+    name = F.when(i % 7 == 2, F.upper("own")).otherwise(F.col("own"))
+    quote = F.when(i % 7 == 1, F.concat(F.lit("“"), "q", F.lit("”"))).when(i % 7 == 3, F.upper("q")).when(i % 7 == 4, F.concat(F.lit("..."), "q", F.lit("…"))).otherwise(F.col("q"))
+    reply = F.concat(F.lit("Yes.\n"), F.when(i % 7 == 5, "  ").otherwise(""), F.lit("> **"), name, F.lit("** — "), quote)
+    sources = F.array(F.struct(F.col("own").alias("name"), F.col("text").alias("content")), F.struct(F.lit("else.txt").alias("name"), F.lit("").alias("content")))
+    fixed = repair.repair(d.select(i.alias("example_id"), F.lit(True).alias("answerable"), F.when(plain, reply).otherwise("").alias("target"), sources.alias("sources")))
+    return fixed.select("example_id", F.array_join(F.transform("repairs", lambda r: r["kind"]), ",").alias("kinds"), "target")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+  SELECT doc_id AS example_id, source AS bucket, doc_id % 10 <> 0 AS answerable, array_to_string(regexp_extract_all(lower('What about ' || substr(text, 1, 60)), '[a-z0-9]+'), ' ') AS plain FROM documents),
+n AS (SELECT *, list_distinct(string_split(plain, ' ')) AS words, row_number() OVER (PARTITION BY bucket, answerable ORDER BY example_id) AS i FROM e),
+k AS (
+  SELECT bucket, answerable, 0::BIGINT AS i, NULL::BIGINT AS example_id, TRUE AS keep, []::VARCHAR[][] AS kept FROM n GROUP BY bucket, answerable
+  UNION ALL
+  SELECT bucket, answerable, i, example_id, keep, CASE WHEN keep THEN list_append(kept, words) ELSE kept END FROM (
+    SELECT k.bucket, k.answerable, n.i, n.example_id, n.words, k.kept,
+      len(list_filter(k.kept, lambda o: len(list_intersect(o, n.words)) > 0 AND len(list_intersect(o, n.words)) >= 0.8 * (len(o) + len(n.words) - len(list_intersect(o, n.words))))) = 0 AS keep
+    FROM k JOIN n ON n.bucket = k.bucket AND n.answerable = k.answerable AND n.i = k.i + 1))
+SELECT example_id FROM k WHERE keep AND example_id IS NOT NULL
+""")
 def dedupe_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.dedupe(_examples(spark, sf_dir).drop("gold")).select("example_id")
 
 
+@query(f"""
+WITH {_REPLIES}, x AS (SELECT *, doc_id % 23 = 0 AS failed, NOT bad AND NOT bare AS cites, NOT bad AND NOT bare AND known AND verbatim AND within_length AS ok FROM v)
+SELECT source, count(*) FILTER (NOT failed) AS answered, count(*) FILTER (failed) AS errors, count(*) FILTER (NOT failed AND NOT bad) AS format_compliant, count(*) FILTER (NOT failed AND ok) AS with_valid_citation,
+  count(*) FILTER (NOT failed AND NOT cites) AS without_citation, count(*) FILTER (NOT failed AND cites) AS citations, count(*) FILTER (NOT failed AND ok) AS valid_citations,
+  median(doc_id % 900) FILTER (NOT failed) AS median_ttft_ms, median(doc_id % 2000) FILTER (NOT failed) AS median_latency_ms FROM x GROUP BY source
+""")
+def generation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    r = citations.verify(_replies(spark, sf_dir)).select("source", "verdicts", "malformed", F.when(i % 23 == 0, "timeout").alias("error"), (i % 900).alias("ttft_ms"), (i % 2000).alias("latency_ms"))
+    return evaluate.generation_counters(r, "source")
+
+
+# -- builders -----------------------------------------------------------------------------
+
+
+def _shared(windows: DataFrame) -> tuple[DataFrame, ...]:
+    """Statistics of a corpus that several contexts read; a lost block is computed again."""
+    p, sizes, idf = retrieve.collection_stats(build.keyed(windows))
+    p = p.persist(StorageLevel.DISK_ONLY)
+    return p, sizes, idf
+
+
+def _teacher_sql(at: str) -> str:
+    return f"'What about ' || substr({at}, 1, 30) || '?'"
+
+
+_UNIT = "('0x' || substr(md5({}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0"
+
+
+@query(f"""
+WITH {_WINDOWS}, g AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY md5('0|' || document || '|' || chunk_index)) AS round FROM w
+  WHERE length({_collapse("text")}) >= 350 AND length(regexp_replace({_collapse("text")}, '[^\\p{{L}}]', '', 'g')) / length({_collapse("text")}) >= 0.6),
+golds AS (SELECT * FROM g WHERE round <= 40 ORDER BY round, library, document LIMIT 200),
+a0 AS (SELECT *, {_collapse("text", _PY)} AS flat, unnest(['single', 'negative']) AS type FROM golds),
+a1 AS (SELECT *, type || '-' || library || '-' || substr(document, 1, 24) || '-' || chunk_index || '-0' AS id, {_teacher_sql("flat")} AS question, trim(substr(flat, 1, 60), ' ') AS span FROM a0),
+a AS (SELECT *, CASE WHEN {_UNIT.format("'style|' || id")} < 0.3 THEN 'title' ELSE 'filename' END AS name_style, CASE WHEN {_UNIT.format("'short|' || id")} < 0.1 THEN 1 + floor({_UNIT.format("'size|' || id")} * 4)::INT ELSE 5 END AS k FROM a1),
+c AS (SELECT library, document, chunk_index, text, {_tokens("text")} AS toks FROM w),
+n AS (SELECT library, count(*) AS n, avg(len(toks)) AS mean FROM c GROUP BY library),
+p AS (SELECT library, document, chunk_index, len(toks) AS length, term, count(*) AS tf FROM (SELECT *, unnest(toks) AS term FROM c) GROUP BY ALL),
+d AS (SELECT library, term, count(*) AS df FROM p GROUP BY ALL),
+q AS (SELECT id, library, term, count(*) AS qtf FROM (SELECT id, library, unnest({_tokens("question")}) AS term FROM a) GROUP BY ALL),
+s AS (SELECT id, p.document, p.chunk_index, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score
+  FROM p JOIN q USING (library, term) JOIN d USING (library, term) JOIN n USING (library) GROUP BY ALL),
+e AS (SELECT a.id, a.type, a.k, c.document, c.chunk_index, c.text, a.span, row_number() OVER (PARTITION BY a.id ORDER BY round(coalesce(s.score, 0.0), 9) DESC, c.document, c.chunk_index) AS rank
+  FROM a JOIN c USING (library) LEFT JOIN s ON s.id = a.id AND s.document = c.document AND s.chunk_index = c.chunk_index
+  WHERE c.document <> a.document OR abs(c.chunk_index - a.chunk_index) > CASE a.type WHEN 'single' THEN 0 ELSE 1 END),
+f AS (SELECT id, document || ':' || chunk_index AS key, document, text, rank FROM e WHERE rank <= CASE type WHEN 'single' THEN k - 1 ELSE k END
+  UNION ALL SELECT id, document || ':' || chunk_index, document, text, 0 FROM a WHERE type = 'single'),
+x AS (SELECT id, count(*) AS n_sources, string_agg(key, ',' ORDER BY key) AS keys, bool_or(contains({_collapse("text", _PY)}, (SELECT any_value(span) FROM a WHERE a.id = f.id))) AS answerable, list(document ORDER BY rank) AS names FROM f GROUP BY id)
+SELECT id AS example_id, type, question, name_style, k, n_sources, md5(keys) AS context, CASE type WHEN 'single' THEN 'The document says so.' || chr(10) || '> **' || document || '** — ' || span
+  ELSE '{_ABSTENTION} The sources cover ' || array_to_string(list_transform(list_filter(list_zip(names, range(1, len(names) + 1)), lambda z: list_position(names, z[1]) = z[2]), lambda z: z[1]), ', ') || '.' END AS target
+FROM a JOIN x USING (id) WHERE span <> '' AND (type = 'single' OR NOT answerable)
+""")
+def build_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _windows(spark, sf_dir).select("library", "document", "chunk_index", "text")
+    golds = dataset.sample_gold(w, 200).select("library", "document", "chunk_index", "text")
+    teacher = models.Extractive()
+    stats = _shared(w)
+    made = build.single(golds, w, teacher, n=1, stats=stats)[0].unionByName(build.negative(golds, w, teacher, stats=stats)[0])
+    keys = w.select(F.md5("text").alias("t"), F.concat_ws(":", "document", F.col("chunk_index").cast("string")).alias("key"), F.col("document").alias("name"))
+    each = made.select("example_id", F.explode("sources").alias("s")).select("example_id", F.col("s.name").alias("name"), F.md5("s.content").alias("t")).join(keys, ["name", "t"])
+    context = each.groupBy("example_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("key")), ",")).alias("context"))
+    return made.join(context, "example_id").select("example_id", "type", "question", "name_style", "k", F.size("sources").cast("long").alias("n_sources"), "context", "target")
+
+
+@query()
+def build_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of the other types, checked: type, reason and how many."""
+    w = _windows(spark, sf_dir).select("library", "document", "chunk_index", "text")
+    golds = dataset.sample_gold(w, 200).select("library", "document", "chunk_index", "text", F.col("place").alias("gold_id"))
+    teacher = models.Extractive()
+    stats, golds = _shared(w), golds.persist(StorageLevel.DISK_ONLY)
+    first, _ = build.single(golds.where("gold_id <= 100"), w, teacher, n=1, stats=stats)
+    first = first.persist(StorageLevel.DISK_ONLY)
+    pairs = dataset.pair_turns(first.select("library", F.col("gold")[0]["document"].alias("document"), "example_id"), golds.where("gold_id > 100").select("library", "document", "gold_id"))
+    parts = [build.two_gold(golds, w, teacher, stats=stats)[0], build.partial(golds, w, teacher, stats=stats)[0], build.multiturn(first, golds, pairs, w, teacher, stats=stats)[0]]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    return dataset.check(every).groupBy("type", "reason").agg(F.count("*").alias("n"))
+
+
 # -- chat ---------------------------------------------------------------------------------
 
 _MESSAGES = f"m AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND {_collapse('text')} <> '')"
@@ -450,6 +631,51 @@ def active_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.active(e).select("user_id", "conv_id")
 
 
+_CONVERSATIONS = "c AS (SELECT conv_id, conv_id % 10 AS user_id, CASE WHEN conv_id % 2 = 0 THEN 'Titled' END AS title, 0::BIGINT AS created_at, 5::BIGINT AS updated_at FROM conversations GROUP BY conv_id)"
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations of ten users, some with a title; and messages to append, some to conversations of others."""
+    m = load(spark, sf_dir, "conversations")
+    zero, i = F.lit(0).cast("long"), F.col("conv_id")
+    c = m.select("conv_id").distinct().select("conv_id", (i % 10).alias("user_id"), F.when(i % 2 == 0, "Titled").alias("title"), zero.alias("created_at"), F.lit(5).cast("long").alias("updated_at"))
+    new = m.select("conv_id", F.when((i + F.col("turn")) % 7 == 0, F.lit(99).cast("long")).otherwise(i % 10).alias("user_id"), "role", "text", F.col("turn").cast("long").alias("created_at"))
+    return c, new
+
+
+@query(f"""
+WITH {_CONVERSATIONS}, m AS (SELECT * FROM conversations WHERE (conv_id + turn) % 7 <> 0),
+f AS (SELECT conv_id, {_collapse("arg_min(text, turn)")} AS t FROM m WHERE role = 'user' AND {_collapse("text")} <> '' GROUP BY conv_id), n AS (SELECT conv_id, max(turn) AS last, count(*) AS n FROM m GROUP BY conv_id)
+SELECT c.conv_id, coalesce(c.title, CASE WHEN length(t) > 60 THEN rtrim(substr(t, 1, 59)) || '…' ELSE t END) AS title, greatest(c.updated_at, coalesce(last, 0)) AS updated_at, coalesce(n, 0) AS n FROM c LEFT JOIN f USING (conv_id) LEFT JOIN n USING (conv_id)
+""")
+def append_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, new = _conversations(spark, sf_dir)
+    none = new.select("conv_id", "role", "text", "created_at").limit(0)
+    after, messages, _ = chat.append_messages(c, none, new)
+    n = messages.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return after.join(n, "conv_id", "left").select("conv_id", "title", "updated_at", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""
+WITH {_CONVERSATIONS}, h AS (SELECT user_id, count(*) AS have FROM c GROUP BY user_id),
+r AS (SELECT e.event_id AS conv_id, e.user_id % 20 AS user_id, row_number() OVER (PARTITION BY e.user_id % 20 ORDER BY epoch_us(ts) // 1000, event_id) AS nth FROM events e)
+SELECT conv_id, r.user_id, CASE WHEN nth - 1 + coalesce(have, 0) >= 60 THEN 'too_many_conversations' ELSE 'made' END AS outcome FROM r LEFT JOIN h USING (user_id)
+""")
+def create_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, _ = _conversations(spark, sf_dir)
+    asked = load(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("user_id"), F.col("event_id").alias("conv_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at"))
+    after, turned_down = chat.create_conversations(c, asked, 60)
+    made = after.where("created_at > 0").select("conv_id", "user_id", F.lit("made").alias("outcome"))
+    return made.unionByName(turned_down.select("conv_id", "user_id", F.col("reason").alias("outcome")))
+
+
+@query(f"WITH {_CONVERSATIONS}, v AS (SELECT DISTINCT user_id % 25 AS user_id FROM events), o AS (SELECT user_id, max(conv_id::VARCHAR) AS conv_id FROM c GROUP BY user_id) SELECT v.user_id, coalesce(o.conv_id, sha256('conversation' || chr(10) || v.user_id)) AS conv_id FROM v LEFT JOIN o USING (user_id)")
+def get_or_create_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, _ = _conversations(spark, sf_dir)
+    visits = load(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("user_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return chat.get_or_create(c, visits)[0]
+
+
 # -- admission and lifecycle --------------------------------------------------------------
 
 
@@ -531,6 +757,17 @@ def cache_miss_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.cache_lookup(d, cache)[1].select("doc_id", "key")
 
 
+@query("WITH l AS (SELECT DISTINCT sha256(text) AS key FROM documents JOIN labels USING (doc_id)) SELECT source, count(*) FILTER (l.key IS NOT NULL) AS hits, count(*) FILTER (l.key IS NULL) AS misses FROM documents d LEFT JOIN l ON l.key = sha256(d.text) GROUP BY source")
+def cache_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key"))
+    return lifecycle.cache_counters(d, d.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("key"), "source")
+
+
+@query("SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").select("event_id", text.iso(F.col("ts").cast("timestamp")).alias("at"))
+
+
 @query("""
 WITH r AS (SELECT user_id AS reply_id, min(epoch_us(ts) // 1000) - 500 AS started FROM events GROUP BY user_id)
 SELECT e.user_id AS reply_id, md5(string_agg(event_type, '' ORDER BY event_id)) AS digest, min(epoch_us(ts) // 1000) - first(started) AS ttft_ms, max(epoch_us(ts) // 1000) - first(started) AS total_ms FROM events e JOIN r ON r.reply_id = e.user_id GROUP BY e.user_id

@@ -19,8 +19,8 @@ GENERATIONS = f"id string, category string, question string, provider string, mo
 EXAMPLES = "id string, type string, library string, question string, sources array<struct<documentName: string, content: string, normalized: string>>, history array<struct<role: string, content: string>>, gold array<struct<document: string, index: int, normalized: string>>, target string"
 
 
-def files(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
-    """path, name, media_type and content of all files below a folder.
+def files(spark: SparkSession, path: str, empty: bool = False, in_order: bool = False) -> DataFrame:
+    """path, name, media_type and content of all files below a folder, sorted by path if asked for.
 
     Spark's reader passes over files without a byte.  With ``empty`` the driver lists the folder
     itself and gives them rows too.
@@ -35,7 +35,8 @@ def files(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
                 left.append((f.getPath().toString(), bytearray()))
         raw = raw.unionByName(spark.createDataFrame(left, "path string, content binary"))
     name = F.element_at(F.split("path", "/"), -1)
-    return raw.select("path", name.alias("name"), text.extension_type(name).alias("media_type"), "content")
+    found = raw.select("path", name.alias("name"), text.extension_type(name).alias("media_type"), "content")
+    return found.orderBy("path") if in_order else found
 
 
 def extract(found: DataFrame, pdf: object = None) -> DataFrame:
@@ -114,6 +115,13 @@ def append_vectors(chunks: DataFrame, path: str, dims: int) -> None:
     checked.write.mode("append").partitionBy("tenant").parquet(path)
 
 
+def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
+    """Writes rows, in their order, as the lines of a text file, from the driver, a partition at a time."""
+    with open(path, "w", encoding="utf-8") as f:
+        for row in lines.select(column).toLocalIterator():
+            f.write(row[0] + "\n")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Writes a one-row report (``report``) or stats row as JSON, from the driver."""
     row = report.first()

@@ -21,6 +21,18 @@ def canned(text: str) -> list[dict]:
     return [{"type": "start"}, {"type": "delta", "delta": text}, {"type": "end"}]
 
 
+def persist_turns(turns: DataFrame, path: str, checkpoint: str):
+    """Writes finished turns (conv_id, turn, user_text, reply, at_ms) once, the user's message always before the reply to it.
+
+    Both are written in one file of one batch, the reply a millisecond later; a turn without a reply (an error, or
+    one that was broken off) leaves the user's message.
+    """
+    user = F.struct(F.lit("user").alias("role"), F.col("user_text").alias("text"), F.col("at_ms").alias("at_ms"))
+    reply = F.struct(F.lit("assistant").alias("role"), F.col("reply").alias("text"), (F.col("at_ms") + 1).alias("at_ms"))
+    both = turns.select("conv_id", "turn", F.explode(F.when(F.length("reply") > 0, F.array(user, reply)).otherwise(F.array(user))).alias("m"))
+    return append_batches(both.select("conv_id", "turn", "m.*"), path, checkpoint)
+
+
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
     """Counts and sums in event-time windows; late rows are dropped after the watermark.  Not of the reference, a plain addition."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), by, "n", "total")

@@ -7,6 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 OUT = "key string, call_id long, at_ms long, ok boolean, remaining int, retry_after long"
 
@@ -25,11 +26,11 @@ def decide(calls: list[tuple[int, int]], reset: int, count: int, limit: int, win
     return out, reset, count
 
 
-def rate_window(calls: DataFrame, limit: int, window_ms: int) -> DataFrame:
+def rate_window(calls: DataFrame, limit: int, window_ms: int, late: str = "1 hour") -> DataFrame:
     """Streaming twin of the batch fold; calls: key, call_id, at_ms.  Calls of a key are taken in order within a micro-batch.
 
-    Each key keeps two numbers.  They are dropped once the window has been over for a while
-    without a call, by processing time.
+    Each key keeps two numbers.  They are dropped once the watermark, ``late`` behind the newest call, has
+    passed the window's end: by the calls' own time, so a slow replay decides as the batch fold does.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
@@ -40,10 +41,11 @@ def rate_window(calls: DataFrame, limit: int, window_ms: int) -> DataFrame:
         rows = [(int(a), int(c)) for b in batches for a, c in zip(b["at_ms"], b["call_id"])]
         out, reset, count = decide(rows, reset, count, limit, window_ms)
         state.update((reset, count))
-        state.setTimeoutDuration(max(1, window_ms))
+        state.setTimeoutTimestamp(max(reset, state.getCurrentWatermarkMs() + 1))
         df = pd.DataFrame(out, columns=["call_id", "at_ms", "ok", "remaining", "retry_after"])
         df.insert(0, "key", key[0])
         df["remaining"], df["retry_after"] = df["remaining"].astype("Int32"), df["retry_after"].astype("Int64")
         yield df
 
-    return calls.groupBy("key").applyInPandasWithState(step, OUT, "reset long, count int", "append", "ProcessingTimeTimeout")
+    timed = calls.withColumn("gm_at", F.timestamp_millis("at_ms")).withWatermark("gm_at", late)
+    return timed.groupBy("key").applyInPandasWithState(step, OUT, "reset long, count int", "append", "EventTimeTimeout")

@@ -141,9 +141,14 @@ def test_sampling_and_pairs(spark):
     more = c.unionByName(spark.createDataFrame([("c", "c-0", i, long) for i in range(3)], c.schema))
     p = {r["example_id"]: (r["partner"], r["partner_index"]) for r in dataset.partners(golds, more).collect()}
     assert p["x"][0] == "a-1" and p["y"] == ("c-0", 2)
-    assert dataset.quota(got and dataset.sample_gold(c, 6), 3, 2).count() == 2
-    pairs = dataset.pair_turns(spark.createDataFrame([("a", 1), ("a", 2)], "library string, example_id int"), spark.createDataFrame([("a", 7), ("b", 8)], "library string, gold_id int"))
-    assert pairs.count() == 1
+    yields = spark.createDataFrame([(i + 1, n) for i, n in enumerate([2, 0, 1, 2, 1, 1])], "place int, yielded int")
+    assert [sorted(r["place"] for r in dataset.quota(yields, n).collect()) for n in (0, 1, 3, 4, 99)] == [[], [1], [1, 2, 3], [1, 2, 3, 4], [1, 2, 3, 4, 5, 6]]
+    kept = spark.createDataFrame([("a", f"d{i % 3}", i) for i in range(30)] + [("b", "x", 90)], "library string, document string, example_id int")
+    unused = spark.createDataFrame([("a", f"d{i % 3}", 100 + i) for i in range(30)] + [("b", "x", 190), ("c", "x", 191)], "library string, document string, gold_id int")
+    pairs = dataset.pair_turns(kept, unused).collect()
+    doc = {r["gold_id"]: r["document"] for r in unused.collect()} | {r["example_id"]: r["document"] for r in kept.collect()}
+    assert len(pairs) == 31 and len({r["gold_id"] for r in pairs}) == 31
+    assert [r["example_id"] for r in pairs if doc[r["example_id"]] == doc[r["gold_id"]]] == [90]
 
 
 def test_splits(spark):

@@ -82,7 +82,7 @@ def test_streams_land_once(spark, sf, tmp_path):
     assert [x["type"] for x in streams.canned("t")] == ["start", "delta", "end"]
 
 
-def test_lifecycle(spark, tmp_path):
+def test_lifecycle(spark):
     d = spark.createDataFrame([("u", "1"), ("u", "2"), ("v", "3")], "user_id string, document_id string")
     c = spark.createDataFrame([("1", 0), ("1", 1), ("3", 0)], "document_id string, i int")
     doomed = spark.createDataFrame([("u", "1"), ("u", "3")], "user_id string, document_id string")
@@ -99,10 +99,6 @@ def test_lifecycle(spark, tmp_path):
     logins = spark.createDataFrame([("x1", "new@x", True), ("y1", "a@x", True), ("y2", "b@x", False), ("y3", None, False)], "external_id string, email string, verified boolean")
     got = {r["external_id"]: r["email"] for r in lifecycle.upsert_users(users, logins).collect()}
     assert got == {"y1": "a@x", "x2": "b@x", "y2": "y2@unknown.local", "y3": "y3@unknown.local"}
-    path = str(tmp_path / "t")
-    for n in (3, 2):
-        lifecycle.swap_in(d.limit(n), path)
-        assert spark.read.parquet(path).count() == n
 
 
 def test_files_to_chunks(spark, tmp_path):
@@ -170,7 +166,7 @@ def test_models(spark):
             models.Settings.from_env(bad)
 
 
-@pytest.mark.parametrize("name", ["dense_topk", "bm25_topk", "hybrid_rrf", "chunk_documents", "filter_stats", "history_window", "rate_limit_day", "upsert_merge", "corpus_library_rollup"])
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_match_sql(spark, sf, name):
     import duckdb
 
@@ -182,7 +178,7 @@ def test_queries_match_sql(spark, sf, name):
     got = queries.QUERIES[name](spark, sf)
     assert sorted(got.columns) == columns
     at = [[c[0] for c in want.description].index(c) for c in columns]
-    same = lambda v: round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
+    same = lambda v: str(v)[:19] if hasattr(v, "isoformat") else round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
     assert sorted(repr([same(r[c]) for c in columns]) for r in got.collect()) == sorted(repr([same(r[i]) for i in at]) for r in want.fetchall())
 
 
