@@ -3,7 +3,7 @@
 A document's set is its distinct word shingles.  Each shingle deals the ranks 0, 1, 2, ... to
 the signature's slots in an order of its own, with a fraction added; a slot keeps the least
 value.  Slots that hold less than a rank need no shingle's further ranks, so most documents
-stop after a few.  Documents with equal sets are one class from here on.
+stop after a few.  Documents with equal sets are one class from here on, named by a number of its own.
 
 Signatures are cut into bands, as many as leave a pair at the threshold a chance of at most
 ``MISS`` to share none.  Classes that share a band are compared: first each with the band's
@@ -14,14 +14,14 @@ full sets.  For that last step bands of up to ``SMALL`` members give pairs.  The
 larger ones come together under their leads, in blocks of bounded size, and an inverted index
 over their shingles counts what each shares with the others; only pairs that reach the
 threshold leave the task.  Links make components by alternating large and small stars (a distributed
-union-find); each component is named after its least doc_id, which is the document to keep.
+union-find), and so do the texts of one doc_id; each component is named after its least doc_id, which
+is the document to keep.
 
 Bands never emit the pairs of connected members, whatever their size; nothing is capped.
 
-Rows without words have an empty set, link with nothing and are kept.  So are rows with a
-null doc_id (component_id null).  Rows that repeat a doc_id are one document: they share a
-component, and one of their texts is compared.  doc_id is of an integer type.  Other
-columns are not read.
+Rows without words have an empty set, link with nothing and are kept.  Rows with a null doc_id are kept (component_id null).  Rows that repeat a doc_id are one
+document: it is linked with what any of its texts is linked with.  doc_id is of an integer type.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -149,17 +149,22 @@ def signatures(documents: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _full_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id and the full set of the documents in ``wanted`` (id, a)."""
-    docs = documents.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id"), "a"), "doc_id")
+    """id and the full set of the classes in ``wanted`` (id, doc, a, b), from the text of their least doc_id that has this set."""
+    docs = documents.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id"), "a", "b", "id"), "doc_id").select("text", "a", "b", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat a text give its set once
         for batch, texts in _text.slices(batches):
             sets = _sets(texts, words)
-            own = batch.column(batch.schema.get_field_index("a")).to_pylist()
-            rows = [i for i, s in enumerate(sets) if len(s) and _identity(s)[0] == own[i]]
+            own = list(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))))
+            rows = []
+            for i, (s, (a, b, id_)) in enumerate(zip(sets, own)):
+                if id_ not in seen and len(s) and _identity(s) == (a, b):
+                    seen.add(id_)
+                    rows.append(i)
             at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in rows])]).astype(np.int32)
             flat = np.concatenate([sets[i] for i in rows]) if rows else np.empty(0, np.uint64)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(rows, pa.int64()))
+            ids = batch.column(3).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))], names=["id", "items"])
 
     return docs.mapInArrow(run, "id long, items array<long>")
@@ -196,14 +201,24 @@ def _close(x: str, y: str, percent: int) -> Column:
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """One row for each distinct set that isn't empty: id (its least doc_id), n, a, b, s0, s1 and bands."""
-    one = signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").cast("long").alias("id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "bands")])
-    return one.dropDuplicates(["id"])
+    """One row for each distinct set that isn't empty: id (a number of its own), doc (its least doc_id), n, a, b, s0, s1 and bands."""
+    one = signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").cast("long").alias("doc"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "bands")])
+    # a column that may not be null would make the optimizer fail on the unions of links (a key is not found when it rewrites their constraints)
+    return _spark.cut(one.withColumn("id", F.nullif(F.monotonically_increasing_id(), F.lit(-1))))
+
+
+def same_document(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (x, y) between the classes of each doc_id that has several."""
+    held = signed.where("n > 0 and doc_id is not null").select("doc_id", "a", "b").distinct()
+    several = held.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    held = held.join(several, "doc_id", "left_semi").join(nodes.select("a", "b", "id"), ["a", "b"]).select("doc_id", "id")
+    least = held.groupBy("doc_id").agg(F.min("id").alias("x"))
+    return held.join(least, "doc_id").where("x <> id").select("x", F.col("id").alias("y"))
 
 
 def link(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Confirmed links (x, y) that connect all linked classes; none if no two share a band."""
-    facts = _spark.cut(nodes.select("id", "n", "a", "s0", "s1"))
+    facts = nodes.select("id", "doc", "n", "a", "b", "s0", "s1")
     rows = nodes.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1")
     members = _spark.cut(rows.join(shared, "key"))
@@ -211,7 +226,7 @@ def link(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
         return None
     wanted = facts.join(members.select("id").distinct(), "id", "left_semi")
     sets = _spark.cut(_full_sets(documents, wanted, words))
-    facts = _spark.cut(wanted.drop("a"))
+    facts = _spark.cut(wanted.drop("doc", "a", "b"))
     _spark.release(facts.sparkSession)
     done: DataFrame | None = None
     links: DataFrame | None = None
@@ -320,15 +335,19 @@ def group(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     """doc_id, n_shingles, component_id and kept of each row; links have 100 * intersection >= percent * union."""
     kind = documents.schema["doc_id"].dataType
     signed = _spark.cut(signatures(documents, words, percent))
-    nodes = _spark.cut(classes(signed))
+    nodes = classes(signed)
     links = link(documents, nodes, words, percent)
-    named = signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").cast("long").alias("id"))
-    if links is not None:
-        named = named.join(components(links), "id", "left").select("a", "b", F.coalesce("root", "id").alias("root"))
+    same = _spark.cut(same_document(signed, nodes))
+    if not same.isEmpty():
+        links = same if links is None else links.unionByName(same)
+    named = nodes.select("a", "b", "doc", "id")
+    if links is None:
+        named = named.withColumn("root", F.col("id"))
     else:
-        named = named.withColumnRenamed("id", "root")
+        named = named.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = named.join(named.groupBy("root").agg(F.min("doc").alias("least")), "root").select("a", "b", "least")
     out = signed.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", F.col("doc_id"))).cast(kind)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", F.col("doc_id"))).cast(kind)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -337,8 +356,8 @@ def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -
 
     Rows with a null doc_id all stay.
     """
-    kept = group(documents, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    gone = group(documents, words, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    named = documents.where("doc_id is not null").join(gone, "doc_id", "left_anti")
     first = named.withColumn("gm_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("gm_nth = 1").drop("gm_nth")
     return first.select(*documents.columns).unionByName(documents.where("doc_id is null"))
 

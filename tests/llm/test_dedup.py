@@ -434,6 +434,38 @@ def test_near_dedup_large_bands(spark, monkeypatch):
     assert got == near_by_hand(sorted(texts.items()), 3, 85)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """A doc_id with two texts is linked with what either is linked with, however rows lie."""
+    same, other = prose(60, 1), prose(60, 2)
+    near = " ".join([*same.split()[:-1], "end"])
+    for u in (prose(50, 3), prose(50, 4), "short", other):
+        rows = [(5, same), (5, u), (9, same), (7, near), (7, near), (8, other), (6, ""), (5, ""), (4, prose(50, 5)), (None, same)]
+        want = {5: 5, 9: 5, 7: 5, 8: 5 if u == other else 8, 6: 6, 4: 4, None: None}
+        for parts in (1, 5):
+            d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+            got = near_dedup.group(d, 3, 85).collect()
+            assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+            kept = near_dedup.keep_one(d, 3, 85).collect()
+            assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({x for x in want.values() if x})
+
+
+def test_recall_of_near_copies(spark):
+    """Copies of 100 texts with words changed, put in and left out, at all degrees: the near stage links just those that brute force links."""
+    r = random.Random(11)
+    texts = {}
+    for i in range(100):
+        one = prose(r.randint(40, 200), 1000 + i).split()
+        other = one.copy()
+        for _ in range(1 + i // 20):
+            at = r.randrange(len(other))
+            other[at : at + r.randint(0, 1)] = [f"w{i}"] * r.randint(0, 2)
+        texts[i], texts[500 + i] = " ".join(one), " ".join(other)
+    for k, percent in ((5, 80), (3, 85)):
+        want = near_by_hand(list(texts.items()), k, percent)
+        assert sorted(map(tuple, near_dedup.group(table(spark, texts), k, percent).collect())) == want
+        assert 20 < sum(not x[3] for x in want) < 95
+
+
 def test_near_dedup_odd_rows(docs, no_docs):
     got = near_dedup.group(docs).collect()
     assert len(got) == docs.count() and [r["kept"] for r in got if r["doc_id"] is None] == [True]
