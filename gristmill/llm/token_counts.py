@@ -2,11 +2,11 @@
 
 A byte-level BPE tokenizer splits a text into pre-tokens and encodes each alone, so a
 text's count is the sum of its pre-tokens' lengths.  One pass over the corpus finds the
-most frequent pre-tokens: every task counts its own exactly and passes on a bounded
-summary.  Their 64-bit hashes and lengths, at most ``table_size`` of them (12 bytes each),
-are broadcast.  The second pass looks every pre-token up there; what is missing goes to a
-cache in the worker and, if it is missing there too, through the tokenizer library.  No
-pre-token is ever shuffled.  The table only saves time: counts are the same with any table.
+most frequent pre-tokens: every task counts its own and passes on a summary of at most
+``SUMMARY_SIZE`` of them, which is all that crosses a shuffle.  Their 64-bit hashes and lengths, at most
+``table_size`` of them (12 bytes each), are broadcast.  The second pass looks every pre-token of the
+corpus up there; what is missing goes to a cache in the worker and, if it is missing there too, through
+the tokenizer library.  The table only saves time: counts are the same with any table.
 
 Tokenizers of another kind (``.model``, or ``.json`` that isn't plain byte-level BPE) encode
 whole texts through their library.
