@@ -14,7 +14,7 @@ leaked ones.  Items of fewer words may be common phrases, so they count by their
 
 Benchmark fingerprints go to the tasks if there are at most ``broadcast_rows`` (16 bytes
 each, and the items' word hashes, counted too).  Beyond that the documents' fingerprints are
-joined with them by a shuffle, which gives pairs of document and item to extend.  Both ways
+joined with them by a shuffle, and the windows around their hits with the items' windows.  Both ways
 give the same rows.
 
 Null texts have no words.  Items without words occur nowhere.  Items with a null item_id
@@ -230,69 +230,112 @@ def _member(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan_joined(documents: DataFrame, items: DataFrame, span: int, k: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The same rows by joins: fingerprints meet by hash, and each pair of text and item is extended on its own."""
-    items = items.select(F.struct("item_id", "words").alias("gm_item"), F.xxhash64("item_id", "words").alias("gm_key"))
+def _windows(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each run of n words, as two numbers."""
+    other = _text.mix(words ^ np.uint64(0xA0761D6478BD642F))
+    return tuple((_text.gram_hash(w, n) ^ np.uint64(n)).view(np.int64) for w in (words, other))
+
+
+def _short_key(words: np.ndarray, n: int, k: int) -> np.ndarray:
+    """A hash of the first words, k at most, of each run of n: what short items are looked for by."""
+    m = min(n, k)
+    return _text.gram_hash(words, m) ^ np.uint64(0xE7037ED1A0B428DB + m)
 
-    def fingerprints(words: np.ndarray, item: bool, lengths: tuple[int, ...]) -> np.ndarray:
-        if item and len(words) < span:
-            return _text.gram_hash(words, len(words)) ^ np.uint64(len(words))
-        grams = _text.gram_hash(words, k)
-        out = [grams[winnow(grams, span - k + 1)]]
-        if not item:
-            out += [_text.gram_hash(words, n) ^ np.uint64(n) for n in lengths]
-        return np.unique(np.concatenate(out))
 
-    lengths = tuple(sorted(r[0] for r in items.select(F.size("gm_item.words").alias("n")).where(f"n < {span}").distinct().collect()))
+def _scan_joined(documents: DataFrame, items: DataFrame, span: int, k: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The same rows by joins.
+
+    Texts' fingerprints meet the distinct ones of all items, so a common one costs a text one row however many items
+    have it.  Only texts with a hit are read again, each once: they give the windows around
+    their hits, which meet the items' windows by 128-bit hashes.
+    """
+    items = items.select(F.col("item_id").cast("string").alias("gm_name"), "words", F.xxhash64("item_id", "words").alias("gm_key"))
+    lengths = tuple(sorted(r[0] for r in items.select(F.size("words").alias("n")).where(f"n < {span}").distinct().collect()))
+    short = {min(n, k): [m for m in lengths if min(m, k) == min(n, k)] for n in lengths}
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fingerprints (b null) and windows (a and b) of each item."""
         for batch in batches:
-            lists = [np.array(x["words"], np.int64).view(np.uint64) for x in batch.column(0).to_pylist()]
-            prints = [fingerprints(x, True, ()) for x in lists]
-            key = np.repeat(batch.column(1).to_numpy(), [len(p) for p in prints])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints).view(np.int64) if prints else np.empty(0, np.int64)), pa.array(key)], names=["gm_hash", "gm_key"])
+            out = []
+            for key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = np.array(words, np.int64).view(np.uint64)
+                n = min(span, len(w))
+                if n == span:
+                    grams = _text.gram_hash(w, k)
+                    prints = grams[winnow(grams, span - k + 1)]
+                else:
+                    prints = _short_key(w, n, k)[:1]
+                out += [(key, x, None, n == span) for x in np.unique(prints).view(np.int64).tolist()]
+                out += [(key, x, y, n == span) for x, y in set(zip(*(h.tolist() for h in _windows(w, n))))]
+            cols = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["gm_key", "a", "b", "gm_full"])
+
+    def prints(w: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """By the kind of window (0: whole ones, else words of the key of short ones): hashes and positions of a text's fingerprints."""
+        grams = _text.gram_hash(w, k)
+        at = winnow(grams, span - k + 1)
+        every = [(0, grams[at].view(np.int64), at)]
+        for m in short:
+            h = _short_key(w, m, k)
+            every.append((m, h.view(np.int64), np.arange(len(h))))
+        return every
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _text.slices(batches):
             w = _text.split_words(texts, _text.ALNUM)
-            prints = [fingerprints(w.hash[a:b], False, lengths) for a, b in zip(w.first[:-1], w.first[1:])]
-            rows = np.repeat(batch.column(0).to_numpy(), [len(p) for p in prints])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints).view(np.int64)), pa.array(rows)], names=["gm_hash", "gm_row"])
-
-    docs = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("gm_row"))
-    left = docs.select("gm_row", "text").mapInArrow(of_texts, "gm_hash long, gm_row long")
-    right = items.mapInArrow(of_items, "gm_hash long, gm_key long")
-    pairs = left.join(right, "gm_hash").select("gm_row", "gm_key").distinct()
-    matched = pairs.join(items, "gm_key").join(docs.select("gm_row", "text").distinct(), "gm_row").select("gm_row", "text", "gm_item")
+            found = [np.unique(np.concatenate([h for _, h, _ in prints(w.hash[a:b])])) for a, b in zip(w.first[:-1], w.first[1:])]
+            rows = np.repeat(batch.column(0).to_numpy(), [len(p) for p in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(rows)], names=["a", "gm_row"])
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of a text that hold a fingerprint which some item has."""
         for batch, texts in _text.slices(batches):
             w = _text.split_words(texts, _text.ALNUM)
-            out = []
-            for i, item in enumerate(batch.column(2).to_pylist()):
-                hit, found = _items([(item["item_id"], item["words"])], span, k).hits(w.hash[w.first[i] : w.first[i + 1]])
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                if found:
-                    out.append((batch.column(0)[i].as_py(), None if item["item_id"] is None else str(item["item_id"]), edge.tolist(), len(item["words"]) >= span))
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_()))], names=["gm_row", "gm_name", "gm_edges", "gm_full"])
+            for i, (row, hits) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                own, hits = w.hash[w.first[i] : w.first[i + 1]], np.array(hits, np.int64)
+                cols: list[tuple] = []
+                for m, h, at in prints(own):
+                    at = at[np.isin(h, hits)]
+                    for n in [span] if not m else short[m]:
+                        start = at if m else np.unique(at[:, None] - np.arange(span - k + 1))
+                        start = start[(start >= 0) & (start + n <= len(own))]
+                        x, y = _windows(own, n)
+                        cols.append((x[start], y[start], start, np.full(len(start), n)))
+                a, b, s, n = map(np.concatenate, zip(*cols))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row, np.int64)), pa.array(a), pa.array(b), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["gm_row", "a", "b", "s", "n"])
+
+    docs = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("gm_row"))
+    facts = _spark.cut(items.select("gm_key", "words").mapInArrow(of_items, "gm_key long, a long, b long, gm_full boolean"))
+    windows = facts.where("b is not null")
+    marks = docs.select("gm_row", "text").mapInArrow(of_texts, "a long, gm_row long").join(facts.where("b is null").select("a").distinct(), "a", "left_semi")
+    hits = marks.groupBy("gm_row").agg(F.collect_set("a").alias("gm_hits"))
+    texts = docs.select("gm_row", "text").join(hits, "gm_row").select("gm_row", "text", "gm_hits")
+    shared = texts.mapInArrow(around, "gm_row long, a long, b long, s int, n int").join(windows.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    shared = _spark.cut(shared.distinct())
+    named = shared.select("gm_row", "a", "b").distinct().join(windows, ["a", "b"]).select("gm_row", "gm_key", "gm_full").distinct().join(items.select("gm_key", "gm_name"), "gm_key")
+    named = named.groupBy("gm_row").agg(F.sort_array(F.collect_set("gm_name")).alias("gm_names"), F.max("gm_full").alias("gm_full"))
+    edges = shared.groupBy("gm_row").agg(F.collect_list(F.struct("s", "n")).alias("gm_edges"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _text.slices(batches):
+            n = np.diff(_text.split_words(texts, _text.ALNUM).first)
+            yield _spark.record(batch, (*keep, "gm_row") if "gm_row" not in keep else keep, gm_n=pa.array(n, pa.int64()))
 
-    runs = matched.mapInArrow(extend, "gm_row long, gm_name string, gm_edges array<long>, gm_full boolean")
-    hits = runs.groupBy("gm_row").agg(F.sort_array(F.collect_set("gm_name")).alias("gm_names"), F.collect_list("gm_edges").alias("gm_edges"), F.max("gm_full").alias("gm_full"))
+    kept = (*keep, "gm_row") if "gm_row" not in keep else keep
+    counted = _spark.map_arrow(docs, count, "gm_n long", keep=kept, read=(*kept, "text"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _text.slices(batches):
-            w = _text.split_words(texts, _text.ALNUM)
-            n = np.diff(w.first)
-            n_hit, names = [], []
-            full = [bool(x) for x in batch.column(len(keep) + 3).to_pylist()]
-            for i, (found, edges) in enumerate(zip(batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist())):
-                d = np.zeros(int(n[i]) + 1, np.int64)
-                for e in edges or []:
-                    np.add.at(d, e[0::2], 1)
-                    np.add.at(d, e[1::2], -1)
+        for batch in batches:
+            get = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            n = get["gm_n"].to_numpy()
+            n_hit = []
+            for size, own in zip(n.tolist(), get["gm_edges"].to_pylist()):
+                d = np.zeros(size + 1, np.int64)
+                for e in own or []:
+                    d[e["s"]] += 1
+                    d[e["s"] + e["n"]] -= 1
                 n_hit.append(int((np.cumsum(d[:-1]) > 0).sum()))
-                names.append(found or [])
-            yield _spark.record(batch, keep, **_result(n, n_hit, names, full))
+            yield _spark.record(batch, keep, **_result(n, n_hit, [x or [] for x in get["gm_names"].to_pylist()], [bool(x) for x in get["gm_full"].to_pylist()]))
 
-    return _spark.map_arrow(docs.join(hits, "gm_row", "left"), finish, _ADDED, keep=keep, read=(*keep, "text", "gm_names", "gm_edges", "gm_full"))
+    joined = counted.join(edges, "gm_row", "left").join(named, "gm_row", "left")
+    return _spark.map_arrow(joined, finish, _ADDED, keep=keep, read=(*keep, "gm_n", "gm_edges", "gm_names", "gm_full"))
