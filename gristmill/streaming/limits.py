@@ -31,6 +31,7 @@ def rate_window(calls: DataFrame, limit: int, window_ms: int, late: str = "1 hou
 
     Each key keeps two numbers.  They are dropped once the watermark, ``late`` behind the newest call, has
     passed the window's end: by the calls' own time, so a slow replay decides as the batch fold does.
+    Calls that come later than the watermark get no verdict.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
@@ -41,11 +42,12 @@ def rate_window(calls: DataFrame, limit: int, window_ms: int, late: str = "1 hou
         rows = [(int(a), int(c)) for b in batches for a, c in zip(b["at_ms"], b["call_id"])]
         out, reset, count = decide(rows, reset, count, limit, window_ms)
         state.update((reset, count))
-        state.setTimeoutTimestamp(max(reset, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(reset + 1, state.getCurrentWatermarkMs() + 1))
         df = pd.DataFrame(out, columns=["call_id", "at_ms", "ok", "remaining", "retry_after"])
         df.insert(0, "key", key[0])
         df["remaining"], df["retry_after"] = df["remaining"].astype("Int32"), df["retry_after"].astype("Int64")
         yield df
 
-    timed = calls.withColumn("gm_at", F.timestamp_millis("at_ms")).withWatermark("gm_at", late)
+    # a millisecond on: Spark's first watermark is 0, and what isn't later than the watermark is dropped
+    timed = calls.withColumn("gm_at", F.timestamp_millis(F.col("at_ms") + 1)).withWatermark("gm_at", late)
     return timed.groupBy("key").applyInPandasWithState(step, OUT, "reset long, count int", "append", "EventTimeTimeout")
