@@ -110,5 +110,5 @@ def lexemes(c: Column) -> Column:
 
 
 def stemmed(counts: DataFrame, term: str = "term") -> DataFrame:
-    """Rows with the term stemmed.  Called on counted terms, so each word of a text is one call at most."""
+    """Rows with the term stemmed; meant for distinct words."""
     return counts.withColumn(term, _stems(F.col(term)))

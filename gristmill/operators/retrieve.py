@@ -21,6 +21,8 @@ from gristmill.functions import stem, text
 
 TOP_K, RRF_K, OVERFETCH = 5, 60, 3
 K1, B = 1.5, 0.75
+#: Terms of queries that are broadcast at most.
+FEW_TERMS = 100_000
 
 #: A strategy: queries, chunks and k to rows of query_id, chunk_id, rank and similarity.
 Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
@@ -77,34 +79,46 @@ def sparse(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
 def full_text(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """``sparse`` over English stems: "install" finds "installing".  Stop words of full-text search are left out on both sides."""
 
-    def counted(rows: DataFrame, *keep: str) -> DataFrame:
-        t = rows.select(*keep, stem.lexemes(F.col("text")).alias("tokens"))
-        n = t.select(*keep, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(*keep, "length", "term").agg(F.count("*").alias("tf"))
-        return stem.stemmed(n).groupBy(*keep, "length", "term").agg(F.sum("tf").alias("tf"))
-
-    hits = counted(chunks, "tenant", "chunk_id").join(counted(usable(queries, k), "query_id", "tenant").select("query_id", "tenant", "term"), ["tenant", "term"])
-    scored = hits.groupBy("query_id", "chunk_id").agg((F.sum("tf") / F.first(F.log(F.col("length") + 1.0))).alias("score"))
+    words = lambda rows, *keep: rows.select(*keep, stem.lexemes(F.col("text")).alias("tokens")).select(*keep, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    asked = stem.stemmed(words(usable(queries, k), "query_id", "tenant").select("query_id", "tenant", "term").distinct()).distinct()
+    # a word of the vocabulary is stemmed once; postings are of words with a stem that is asked for
+    vocabulary = words(chunks).select("term").distinct()
+    wanted = stem.stemmed(vocabulary.withColumn("stem", F.col("term")), "stem").join(asked.select(F.col("term").alias("stem")).distinct(), "stem")
+    postings_ = words(chunks, "tenant", "chunk_id").join(wanted, "term").groupBy("tenant", "chunk_id", "length", F.col("stem").alias("term")).agg(F.count("*").alias("tf"))
+    scored = postings_.join(asked, ["tenant", "term"]).groupBy("query_id", "chunk_id").agg((F.sum("tf") / F.first(F.log(F.col("length") + 1.0))).alias("score"))
     return top_k(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).withColumn("similarity", F.lit(0.0))
 
 
+def lengths(chunks: DataFrame) -> DataFrame:
+    """Per tenant the number of chunks and their mean length in tokens."""
+    return chunks.select("tenant", F.size(text.tokens(F.col("text"))).alias("length")).groupBy("tenant").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+
+
+def idf(p: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per tenant and term of the postings the inverse document frequency."""
+    return p.groupBy("tenant", "term").agg(F.count("*").alias("df")).join(sizes, "tenant").select("tenant", "term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
 def collection_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings; per tenant the number of chunks and their mean length; per tenant and term the idf."""
-    p = postings(chunks)
-    sizes = chunks.select("tenant", F.size(text.tokens(F.col("text"))).alias("length")).groupBy("tenant").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    idf = p.groupBy("tenant", "term").agg(F.count("*").alias("df")).join(sizes, "tenant").select("tenant", "term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return p, sizes, idf
+    p, sizes = postings(chunks), lengths(chunks)
+    return p, sizes, idf(p, sizes)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, stats: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Okapi BM25 in each tenant; chunks without any term score 0 and fill up k.  ``stats``: what ``collection_stats`` gave for the chunks, if it is at hand.
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Okapi BM25 in each tenant; chunks without any term score 0 and fill up k.  ``stats``: the chunks' ``postings`` and ``lengths``, if they are at hand.
 
     Only matching chunks are scored.  The k least chunk_ids of a tenant stand ready to fill up,
     so the zero scores never meet all queries: k of them suffice beside k - 1 matches or fewer.
     """
-    p, sizes, idf = stats or collection_stats(chunks)
+    p, sizes = stats or (postings(chunks), lengths(chunks))
     terms = query_terms(usable(queries, k))
+    # only postings of terms that are asked for go on; where these are few, they are told on the spot
+    need = terms.select("tenant", "term").distinct()
+    need = F.broadcast(need) if need.count() <= FEW_TERMS else need
+    p = p.join(need, ["tenant", "term"], "left_semi")
     norm = F.when(F.col("mean_length") > 0, k1 * (1 - b + b * F.col("length") / F.col("mean_length"))).otherwise(F.lit(k1))
-    hits = p.join(terms, ["tenant", "term"]).join(idf, ["tenant", "term"]).join(sizes.select("tenant", "mean_length"), "tenant")
+    hits = p.join(terms, ["tenant", "term"]).join(idf(p, sizes), ["tenant", "term"]).join(sizes.select("tenant", "mean_length"), "tenant")
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
     best = top_k(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).drop("rank")
     spare = top_k(chunks.select("tenant", "chunk_id"), 2 * k, F.asc("chunk_id"), by="tenant").drop("rank")

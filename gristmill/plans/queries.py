@@ -524,11 +524,10 @@ def generation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- builders -----------------------------------------------------------------------------
 
 
-def _shared(windows: DataFrame) -> tuple[DataFrame, ...]:
+def _shared(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statistics of a corpus that several contexts read; a lost block is computed again."""
-    p, sizes, idf = retrieve.collection_stats(build.keyed(windows))
-    p = p.persist(StorageLevel.DISK_ONLY)
-    return p, sizes, idf
+    keyed = build.keyed(windows)
+    return retrieve.postings(keyed).persist(StorageLevel.DISK_ONLY), retrieve.lengths(keyed).persist(StorageLevel.DISK_ONLY)
 
 
 def _teacher_sql(at: str) -> str:
@@ -564,7 +563,7 @@ FROM a JOIN x USING (id) WHERE span <> '' AND (type = 'single' OR NOT answerable
 """)
 def build_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _windows(spark, sf_dir).select("library", "document", "chunk_index", "text")
-    golds = dataset.sample_gold(w, 200).select("library", "document", "chunk_index", "text")
+    golds = dataset.sample_gold(w, 200).select("library", "document", "chunk_index", "text").persist(StorageLevel.DISK_ONLY)
     teacher = models.Extractive()
     stats = _shared(w)
     made = build.single(golds, w, teacher, n=1, stats=stats)[0].unionByName(build.negative(golds, w, teacher, stats=stats)[0])
@@ -574,23 +573,6 @@ def build_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(context, "example_id").select("example_id", "type", "question", "name_style", "k", F.size("sources").cast("long").alias("n_sources"), "context", "target")
 
 
-@query()
-def build_others(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Examples of the other types, checked: type, reason and how many."""
-    w = _windows(spark, sf_dir).select("library", "document", "chunk_index", "text")
-    golds = dataset.sample_gold(w, 200).select("library", "document", "chunk_index", "text", F.col("place").alias("gold_id"))
-    teacher = models.Extractive()
-    stats, golds = _shared(w), golds.persist(StorageLevel.DISK_ONLY)
-    first, _ = build.single(golds.where("gold_id <= 100"), w, teacher, n=1, stats=stats)
-    first = first.persist(StorageLevel.DISK_ONLY)
-    pairs = dataset.pair_turns(first.select("library", F.col("gold")[0]["document"].alias("document"), "example_id"), golds.where("gold_id > 100").select("library", "document", "gold_id"))
-    parts = [build.two_gold(golds, w, teacher, stats=stats)[0], build.partial(golds, w, teacher, stats=stats)[0], build.multiturn(first, golds, pairs, w, teacher, stats=stats)[0]]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p, allowMissingColumns=True)
-    return dataset.check(every).groupBy("type", "reason").agg(F.count("*").alias("n"))
-
-
 # -- chat ---------------------------------------------------------------------------------
 
 _MESSAGES = f"m AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND {_collapse('text')} <> '')"
