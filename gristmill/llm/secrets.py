@@ -19,8 +19,12 @@ secrets there.  ``unseen_recall`` says how many secrets of a form it finds when
 A candidate longer than ``SEEN`` is judged by windows of ``SEEN`` characters that overlap by half,
 from its beginning to its end, and has the largest of their probabilities.
 
-The network is fitted on at most about ``TRAIN_ROWS`` rows, chosen by a hash of the text; it
-then reads every whole text.
+The network is fitted on the distinct labelled windows of all rows.  Up to ``BLOCK`` of them are learnt in the
+driver.  More are dealt by hash to at most ``SHARDS`` shards; in each epoch every shard goes on from the
+common network, block after block, and the shards' networks are averaged by their rows.  Calibration and
+threshold then come from a histogram of the outputs of everything that was set apart, in bins of
+1 / ``FINE``, each counted at its lower edge, so that the threshold keeps its recall.  The network
+does not depend on how rows lie.
 
 Null texts count as empty.  Repeated rows get a row each; a null doc_id stays null; other
 columns are not read.  Without any labelled secret nothing is added to the base.
@@ -50,10 +54,12 @@ CONTEXT = 24
 #: Characters of a candidate that the network sees at once.
 SEEN = 48
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
-TRAIN_ROWS, RECALL = 20_000, 0.99
-#: Labelled candidates of either label that are used at most.
-TRAIN_CANDIDATES = 4000
-#: Made-up keys, and made-up names and paths, that training adds.
+RECALL, EPOCHS = 0.99, 12
+#: Labelled windows that are held and learnt at a time, and shards at most that learn side by side.
+BLOCK, SHARDS = 1 << 14, 64
+#: Bins of the histogram of outputs, for each unit.
+FINE = 256
+#: Made-up keys, and made-up names and paths, that training adds to each block.
 MADE = 1500
 
 
@@ -114,6 +120,26 @@ class Net:
         self.w1, self.b1 = r.normal(0, 0.2, (3 * FILTERS, HIDDEN)), np.zeros(HIDDEN)
         self.w2, self.b2 = r.normal(0, 0.3, HIDDEN), 0.0
         self.scale, self.shift, self.threshold = 1.0, 0.0, 1.1
+        self.m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+        self.v = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+        self.step = 0.0
+
+    NAMES = ("conv", "bias", "w1", "b1", "w2", "b2")
+
+    def state(self) -> np.ndarray:
+        """What training changes, as one vector: shards' networks are averaged by it."""
+        return np.concatenate([*(np.ravel(x) for k in self.NAMES for x in (getattr(self, k), self.m[k], self.v[k])), [self.step]])
+
+    def restore(self, flat: np.ndarray) -> Net:
+        at = 0
+        for k in self.NAMES:
+            shape, size = np.shape(getattr(self, k)), np.size(getattr(self, k))
+            parts = [flat[at + i * size : at + (i + 1) * size].reshape(shape).copy() for i in range(3)]
+            setattr(self, k, parts[0])
+            self.m[k], self.v[k] = parts[1:]
+            at += 3 * size
+        self.step = float(flat[at])
+        return self
 
     #: Positions of the convolution's output that lie before, in and after the candidate.
     PARTS = ((0, CONTEXT - 2), (CONTEXT - 2, CONTEXT + SEEN - 2), (CONTEXT + SEEN - 2, LENGTH - WIDTH + 1))
@@ -134,15 +160,15 @@ class Net:
         return np.concatenate([self._forward(x[i : i + 256])[3] for i in range(0, len(x), 256)]) if len(x) else np.empty(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) * self.scale + self.shift, -40, 40)))
+        return self._scaled(self.logits(x))
 
-    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 0) -> None:
-        """Adam on the weighted cross-entropy."""
+    def _scaled(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z * self.scale + self.shift, -40, 40)))
+
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 0) -> None:
+        """Adam on the weighted cross-entropy; goes on from the moments of a training before."""
         r = np.random.default_rng(seed)
-        names = ("conv", "bias", "w1", "b1", "w2", "b2")
-        m = {k: np.zeros_like(getattr(self, k)) for k in names}
-        v = {k: np.zeros_like(getattr(self, k)) for k in names}
-        step = 0
+        m, v = self.m, self.v
         for _ in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), 64):
@@ -159,27 +185,30 @@ class Net:
                     g["bias"] += part.sum(0)
                     for j in range(WIDTH):
                         np.add.at(g["conv"][j], (np.take_along_axis(xb, t + j, 1), cols), part)
-                step += 1
-                for k in names:
+                self.step += 1
+                for k in self.NAMES:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.999 * v[k] + 0.001 * np.square(g[k])
-                    setattr(self, k, getattr(self, k) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8))
+                    setattr(self, k, getattr(self, k) - rate * (m[k] / (1 - 0.9**self.step)) / (np.sqrt(v[k] / (1 - 0.999**self.step)) + 1e-8))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
         """Platt scaling on candidates that training didn't see; then the recall-constrained threshold."""
-        z = self.logits(x)
-        n1, n0 = int(y.sum()), int((1 - y).sum())
+        self.calibrate_on(self.logits(x), y, np.ones(len(y)), recall)
+
+    def calibrate_on(self, z: np.ndarray, y: np.ndarray, count: np.ndarray, recall: float = RECALL) -> None:
+        """The same on outputs, each of which stands ``count`` times."""
+        n1, n0 = int((count * y).sum()), int((count * (1 - y)).sum())
         target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
 
         def loss(ab: np.ndarray) -> float:
             u = ab[0] * z + ab[1]
-            return float((np.logaddexp(0, u) - target * u).sum() + 5e-4 * ((ab[0] - 1) ** 2 + ab[1] ** 2))
+            return float((count * (np.logaddexp(0, u) - target * u)).sum() + 5e-4 * ((ab[0] - 1) ** 2 + ab[1] ** 2))
 
         at = np.array([1.0, 0.0])
         for _ in range(50):  # Newton's method on two parameters, with halved steps
             p = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -40, 40)))
-            w = np.maximum(p * (1 - p), 1e-9)
-            g = np.array([((p - target) * z).sum() + 1e-3 * (at[0] - 1), (p - target).sum() + 1e-3 * at[1]])
+            w, off = count * np.maximum(p * (1 - p), 1e-9), count * (p - target)
+            g = np.array([(off * z).sum() + 1e-3 * (at[0] - 1), off.sum() + 1e-3 * at[1]])
             hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             change = np.linalg.solve(hess, g)
             while loss(at - change) > loss(at) and np.abs(change).max() > 1e-7:
@@ -189,8 +218,10 @@ class Net:
                 break
         a, b = at.tolist()
         self.scale, self.shift = a, b
-        p = np.sort(self.probability(x[y > 0]))
-        self.threshold = float(p[int(np.floor((1 - recall) * len(p)))]) if len(p) else 1.1
+        p, n = self._scaled(z[y > 0]), count[y > 0]
+        order = np.argsort(p)
+        lost = np.cumsum(n[order]) <= np.floor((1 - recall) * n.sum())  # may stay below the threshold
+        self.threshold = float(p[order][int(lost.sum())]) if len(p) else 1.1
 
 
 _KEYWORD = re.compile(r"password|passwd|secret|token|api_?key|AKIA", re.ASCII | re.IGNORECASE)
@@ -213,28 +244,43 @@ def labelled(text: str) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def fit(documents: DataFrame, rows: int = TRAIN_ROWS, limit: int = TRAIN_CANDIDATES) -> Net:
-    """A network trained and calibrated on a bounded number of labelled candidates."""
-    docs = documents.select("text").where("text is not null")
-    share = min(1.0, rows / max(1, documents.count()))
+def windows_of(documents: DataFrame) -> DataFrame:
+    """The distinct labelled windows (w, y) of all rows."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _text.slices(batches):
             found = [x for t in texts.to_pylist() for x in labelled(t)]
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], names=["w", "y"])
 
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(share) * (1 << 20)).mapInArrow(collect, "w binary, y int")
-    # by a hash, so that the choice doesn't depend on how rows lie; secrets and others apart
-    near = sample.distinct().withColumn("h", F.xxhash64("w"))
-    chosen = near.where("y = 1").orderBy("h", "w").limit(limit).unionByName(near.where("y = 0").orderBy("h", "w").limit(limit)).toPandas()
-    y = chosen["y"].to_numpy(np.int64)
-    if not y.sum():
+    return documents.select("text").where("text is not null").mapInArrow(collect, "w binary, y int").distinct()
+
+
+def fit(documents: DataFrame) -> Net:
+    """A network trained and calibrated on all labelled windows."""
+    near = _spark.cut(windows_of(documents).withColumn("h", F.xxhash64("w")))
+    n, secrets = near.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not secrets:
         return Net()
-    return learn(np.frombuffer(b"".join(chosen["w"]), np.uint8).reshape(-1, LENGTH), y)
+    if n > BLOCK:
+        return learn_in_shards(near, min(SHARDS, -(-n // BLOCK)))
+    return learn(*_arrays(near.orderBy(F.desc("y"), "h", "w").select("w", "y").toArrow()))
+
+
+def _arrays(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(rows.column("w").to_pylist()), np.uint8).reshape(-1, LENGTH), rows.column("y").to_numpy().astype(np.int64)
 
 
 def learn(x: np.ndarray, y: np.ndarray, seed: int = 1) -> Net:
     """A network from labelled windows, calibrated on those whose candidate's form falls to the side that is set apart."""
+    rows, label, apart, balance = examples(x, y, seed)
+    net = Net()
+    net.train(rows[~apart], label[~apart], balance[~apart])
+    net.calibrate(rows[apart], label[apart])
+    return net
+
+
+def examples(x: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
+    """Rows to learn from, their labels, whether they are set apart, and their weights; made-up ones come in."""
     r = np.random.default_rng(seed)
     others = np.concatenate([x[y == 0], _plain(r, MADE)])
     secrets = x[y == 1]
@@ -245,10 +291,60 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int = 1) -> Net:
     apart = np.array([zlib.crc32(w.tobytes()) % 5 == 0 for w in rows[:, CONTEXT : CONTEXT + SEEN]])
     order = r.permutation(len(rows))
     rows, label, apart = rows[order], label[order].astype(np.float64), apart[order]
+    return rows, label, apart, np.where(label > 0, len(label) / (2 * label.sum()), len(label) / (2 * (1 - label).sum()))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The examples of each ``size`` windows in turn."""
+    held: list[pa.RecordBatch] = []
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        x, y = _arrays(pa.Table.from_batches(parts))
+        return examples(x, y, zlib.crc32(x.tobytes()))
+
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, size - sum(b.num_rows for b in held))
+            held.append(part)
+            batch = batch.slice(part.num_rows)
+            if sum(b.num_rows for b in held) == size:
+                yield whole(held)
+                held = []
+    if held:
+        yield whole(held)
+
+
+def learn_in_shards(near: DataFrame, shards: int, epochs: int = EPOCHS) -> Net:
+    """A network from any number of labelled windows (w, y, h: their hash), which no task holds more than a block of."""
+    sc, size = near.sparkSession.sparkContext, BLOCK
+    dealt = near.repartitionById(shards, F.pmod("h", F.lit(shards)).cast("int")).sortWithinPartitions("h", "w", "y")
+    dealt = _spark.cut(dealt.select("w", "y"))
     net = Net()
-    balance = np.where(label > 0, len(label) / (2 * label.sum()), len(label) / (2 * (1 - label).sum()))
-    net.train(rows[~apart], label[~apart], balance[~apart])
-    net.calibrate(rows[apart], label[apart])
+    for epoch in range(epochs):
+        shared = sc.broadcast(net.state())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            net, n = Net().restore(shared.value), 0
+            for rows, label, apart, balance in _blocks(batches, size):
+                net.train(rows[~apart], label[~apart], balance[~apart], epochs=1, seed=epoch)
+                n += int((~apart).sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.state().tobytes()], pa.binary())], names=["n", "state"])
+
+        learnt = sorted((r["n"], bytes(r["state"])) for r in dealt.mapInArrow(run, "n long, state binary").collect())
+        net.restore(np.average([np.frombuffer(x) for _, x in learnt], axis=0, weights=[n for n, _ in learnt]))
+        shared.unpersist()
+    shared = sc.broadcast(net.state())
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Net().restore(shared.value)
+        for rows, label, apart, _ in _blocks(batches, size):
+            z = np.floor(net.logits(rows[apart]) * FINE).astype(np.int64)
+            bins, n = np.unique(np.stack([z, label[apart].astype(np.int64)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins[0]), pa.array(bins[1]), pa.array(n, pa.int64())], names=["z", "y", "n"])
+
+    bins = dealt.mapInArrow(measure, "z long, y long, n long").groupBy("z", "y").agg(F.sum("n").alias("n")).orderBy("z", "y").toPandas()
+    net.calibrate_on(bins["z"].to_numpy() / FINE, bins["y"].to_numpy(np.float64), bins["n"].to_numpy(np.float64))
     return net
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -165,6 +166,38 @@ def test_calibration_is_apart_and_clean_text_left_alone(spark, monkeypatch):
     assert got.where("n_net > 0").count() <= 0.02 * got.count()
 
 
+def test_all_labelled_windows_are_learnt_from(spark, monkeypatch):
+    """More secrets than any sample of 4,000 takes, and a threshold from all that were set apart."""
+    r = random.Random(4)
+    texts = [f"token = {r.getrandbits(160):040x} and chapter-{r.getrandbits(60):020d}-of-it" for _ in range(4500)]
+    seen = []
+    monkeypatch.setattr(secrets, "learn", lambda x, y: seen.append((len(x), y.sum())) or secrets.Net())
+    secrets.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {(w.tobytes(), y) for t in texts for w, y in secrets.labelled(t)}
+    assert seen == [(len(want), sum(y for _, y in want))] and seen[0][1] > 8000
+
+
+def test_shards_learn_as_one_and_lose_no_window(spark, monkeypatch):
+    d = spark.read.parquet(FAR)
+    want = {(w.tobytes(), y) for (t,) in d.select("text").collect() for w, y in secrets.labelled(t or "")}
+    monkeypatch.setattr(secrets, "BLOCK", 60)
+    monkeypatch.setattr(secrets, "MADE", 300)
+    counted = []
+    monkeypatch.setattr(secrets.Net, "calibrate_on", lambda self, z, y, n, old=secrets.Net.calibrate_on: counted.append((z, y, n)) or old(self, z, y, n))
+    net = secrets.fit(d)
+    z, y, n = counted[0]
+    p = net._scaled(z)
+    kept = n[(y > 0) & (p >= net.threshold)].sum() / n[y > 0].sum()
+    assert kept >= secrets.RECALL and n[(y == 0) & (p >= net.threshold)].sum() <= 0.05 * n[y == 0].sum()
+    again = secrets.fit(d.repartition(7))
+    assert (again.state() == net.state()).all() and again.threshold == net.threshold
+    # blocks hold every window once
+    rows = pa.RecordBatch.from_pylist([{"w": w, "y": y} for w, y in sorted(want)])
+    monkeypatch.setattr(secrets, "examples", lambda x, y, seed: (x, y))
+    back = [(w.tobytes(), int(k)) for x, y in secrets._blocks(iter([rows.slice(0, 7), rows.slice(7)]), 60) for w, k in zip(x, y)]
+    assert len(want) > 120 and sorted(back) == sorted(want)
+
+
 def test_unseen_forms_are_found():
     """Learning from hexadecimal secrets only, and from made-up keys of other forms, it finds most access keys."""
     r = np.random.default_rng(2)
