@@ -231,6 +231,40 @@ def test_exact_passages_in_mosaics_are_found(spark, monkeypatch, seed):
         assert 100 * substring_dedup._lcs(a, b) >= 80 * max(len(a), len(b))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_no_word_of_an_exact_passage_is_lost(spark, monkeypatch, seed):
+    """Mosaics of many shared pieces, some of them repeated within a text: all words that a brute force over all runs of 50 finds."""
+    monkeypatch.setattr(substring_dedup, "LOCAL_BYTES", 1 << (12 + 4 * (seed % 2)))
+    r, new = invented(60 + seed)
+    pool = [new(r.randint(30, 120)) for _ in range(6)]
+    texts = {}
+    for i in range(90):
+        t = new(r.choice([0, 5]))
+        for _ in range(r.randint(1, 6)):
+            x = r.choice(pool)
+            a = r.randint(0, len(x) // 2)
+            t += x[a : a + r.randint(20, 120)] + new(r.choice([0, 0, 3, 30]))
+        texts[i] = t
+    found = [x for x in spans_of(spark, texts) if not x["first"]]
+    want = exact_by_hand(texts, 50)
+    got = {i: {w for x in found if x["doc_id"] == i for w in range(x["start_word"], x["end_word"])} for i in texts}
+    assert sum(map(len, want.values())) > 3000 and not {i: want[i] - got[i] for i in texts if want[i] - got[i]}
+    for x in found:
+        a, b = texts[x["doc_id"]][x["start_word"] : x["end_word"]], texts[x["other_doc_id"]][x["other_start"] : x["other_end"]]
+        assert x["other_doc_id"] < x["doc_id"] and x["n_words"] >= 50
+        assert 100 * substring_dedup._lcs(a, b) >= 80 * max(len(a), len(b))
+
+
+@pytest.mark.parametrize("local", [1 << 23, 1])
+def test_a_passage_whose_pieces_stand_before_it_in_the_other_text_is_found(spark, monkeypatch, local):
+    monkeypatch.setattr(substring_dedup, "LOCAL_BYTES", local)
+    _, new = invented(70)
+    whole = new(50)
+    pieces = [w for i in range(7) for w in whole[i : i + 44] + new(60)]
+    found = [x for x in spans_of(spark, {1: pieces + whole + new(30), 2: new(9) + whole + new(9)}) if not x["first"]]
+    assert [(x["doc_id"], x["start_word"], x["end_word"], x["other_start"]) for x in found] == [(2, 9, 59, len(pieces))]
+
+
 @pytest.mark.parametrize(("edits", "least"), [(0.1, 1.0), (0.15, 0.98), (0.18, 0.9)])
 def test_recall_of_edited_passages(spark, edits, least):
     """Passages of 60 to 120 words with words changed, put in or left out at random, against all 100 planted."""
