@@ -7,7 +7,9 @@ come from hashes of ids, so no schedule changes them.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from math import ceil
 from typing import Any
 
 import pandas as pd
@@ -202,27 +204,46 @@ def stats_report(checked: DataFrame) -> DataFrame:
 
 
 class Kept:
-    """Questions kept so far, indexed by their tokens."""
+    """Questions kept so far, indexed by their rarest tokens.
+
+    Tokens are numbered as they are first seen, so frequent ones mostly have low numbers, and a question's tokens
+    are taken from the highest number down.  Two questions that are alike share a token among the first few
+    of each (as many as they may lack of each other, and one), and the places of the tokens that they share bound how many
+    more these can be.  Those that remain are compared in full.
+    """
 
     def __init__(self, threshold: float):
         self.threshold = threshold
         self.seen: set[str] = set()
-        self.sizes: list[int] = []
-        self.index: dict[str, list[int]] = {}
+        self.numbers: dict[str, int] = {}
+        self.tokens, self.starts = array("q"), array("q", [0])  # of kept questions, one after the other
+        self.index: dict[int, list[tuple[int, int, int]]] = {}  # token: kept question, its size, the token's place in it
 
     def add(self, plain: str) -> bool:
         """Keeps a question unless one like it was kept before."""
-        words = set(plain.split())
-        shared: dict[int, int] = {}
-        for w in words:
-            for k in self.index.get(w, ()):
-                shared[k] = shared.get(k, 0) + 1
-        if plain in self.seen or any(n >= self.threshold * (len(words) + self.sizes[k] - n) for k, n in shared.items()):
+        if plain in self.seen:
             return False
+        words = {self.numbers.setdefault(w, len(self.numbers)) for w in plain.split()}
+        order, n, t = sorted(words, reverse=True), len(words), self.threshold
+        first = order[: n - ceil(t * n - 1e-9) + 1]  # the margin allows for rounding: more are looked at, not fewer
+        share = t / (1 + t)
+        shared: dict[int, int] = {}
+        for i, w in enumerate(first):
+            for k, m, j in self.index.get(w, ()):
+                so_far = shared.get(k, 0)
+                if so_far >= 0:
+                    shared[k] = so_far + 1 if so_far + 1 + min(n - i, m - j) - 1 >= share * (n + m) - 1e-9 else -1
+        for k, so_far in shared.items():
+            if so_far > 0:
+                other = self.tokens[self.starts[k] : self.starts[k + 1]]
+                both = sum(map(words.__contains__, other))
+                if both >= t * (n + len(other) - both):
+                    return False
         self.seen.add(plain)
-        for w in words:
-            self.index.setdefault(w, []).append(len(self.sizes))
-        self.sizes.append(len(words))
+        for j, w in enumerate(first):
+            self.index.setdefault(w, []).append((len(self.starts) - 1, n, j))
+        self.tokens.extend(order)
+        self.starts.append(len(self.tokens))
         return True
 
 
@@ -230,8 +251,7 @@ def dedupe(examples: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Drops questions like one kept before, by example order, within (first gold document or library, answerable).
 
     Each question is compared with kept ones only, so the result depends on the order and buckets
-    are folded one by one.  A question meets only those that share a rare enough token: kept
-    questions are indexed by token, so a bucket's cost follows its overlaps.
+    are folded one by one.  A question meets only those that share a rare enough token (``Kept``).
     """
     first = F.when(F.size("gold") > 0, F.col("gold")[0]["document"]) if "gold" in examples.columns else F.lit(None).cast("string")
     keyed = examples.select("example_id", F.coalesce(first, F.col("library")).alias("bucket"), "answerable", text.plain_question(F.col("question")).alias("plain"))

@@ -156,3 +156,24 @@ def test_splits(spark):
     got = {r["split"]: r["n"] for r in dataset.split_report(d).collect()}
     assert got == {"test": 1, "validation": 1, "train": 1}
     assert [r["document"] for r in dataset.leaks(d.withColumn("split", dataset.split_name(F.col("library")))).collect()] == ["x"]
+
+
+def test_dedupe_looks_at_few_questions_and_misses_none():
+    """Words that all questions share lead nowhere, and the fold equals one that compares with every kept question."""
+    kept = dataset.Kept(0.8)
+    assert all(kept.add("what about " + " ".join(f"w{i * 7 + j}" for j in range(7))) for i in range(2000))
+    assert max(map(len, kept.index.values())) < 20
+    import random
+
+    r = random.Random(3)
+    for threshold in (0.5, 0.8, 1.0):
+        asked = [" ".join(f"w{min(r.randrange(12), r.randrange(40))}" for _ in range(r.randrange(9))) for _ in range(600)]
+        before, want = [], []
+        for q in asked:
+            w = set(q.split())
+            alike = any(q == p or (w & v and len(w & v) >= threshold * (len(w) + len(v) - len(w & v))) for p, v in before)
+            want.append(not alike)
+            if not alike:
+                before.append((q, w))
+        fold = dataset.Kept(threshold)
+        assert [fold.add(q) for q in asked] == want
