@@ -32,8 +32,11 @@ STOP_WORDS = [
 
 
 def collapse(c: Column, space: str = WEB_SPACE) -> Column:
-    """Runs of white space become one blank; none at the ends."""
-    return F.btrim(F.regexp_replace(c, f"{space}+", " "), F.lit(" "))
+    """Runs of white space become one blank; none at the ends.
+
+    Single blanks stay as they are, and characters of plain text are told apart before the class of white space is asked.
+    """
+    return F.btrim(F.regexp_replace(c, f" (?![!-~]){space}+|[^ -~](?<={space}){space}*", " "), F.lit(" "))
 
 
 def trim_start(c: Column, space: str = WEB_SPACE) -> Column:

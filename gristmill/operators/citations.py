@@ -56,4 +56,5 @@ def verify(replies: DataFrame, reply: str = "reply", sources: str = "sources") -
 
 def rows(verified: DataFrame, *keep: str) -> DataFrame:
     """One row for each citation, with its position."""
-    return verified.select(*keep, F.posexplode("verdicts").alias("position", "v")).select(*keep, "position", "v.*")
+    # an inner explode would let the optimizer verify everything a second time, to see whether there is anything to explode
+    return verified.select(*keep, F.posexplode_outer("verdicts").alias("position", "v")).where("position is not null").select(*keep, "position", "v.*")

@@ -177,3 +177,11 @@ def test_dedupe_looks_at_few_questions_and_misses_none():
                 before.append((q, w))
         fold = dataset.Kept(threshold)
         assert [fold.add(q) for q in asked] == want
+
+
+def test_citations_are_verified_once(spark, sf):
+    """The explode over verdicts leads to no filter that verifies everything again."""
+    from gristmill.plans import queries
+
+    plan = queries.citation_verify(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
