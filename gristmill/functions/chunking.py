@@ -8,12 +8,18 @@ if the next piece leaves no room.  No chunk is longer than ``size``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import PY_SPACE, collapse
 
 SIZE, OVERLAP = 1000, 200
+#: Characters of windows that one Arrow batch holds, or a single text's.
+PASS_CHARS = 1 << 21
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
@@ -59,6 +65,41 @@ def window_count(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colu
     return F.when(text.isNotNull(), _last(F.length(collapse(text, PY_SPACE)), size, overlap) + 1)
 
 
+def window_rows(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """A row for each window of ``windows``, with chunk_index and the window as text, and the row's other columns; made over Arrow batches."""
+    keep = [c for c in rows.columns if c != "text"]
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())])
+    step = size - overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of: list[int] = []
+            index: list[int] = []
+            made: list[str] = []
+            held = 0
+
+            def full() -> pa.RecordBatch:
+                where = pa.array(of, pa.int64())
+                return pa.RecordBatch.from_arrays([*(c.take(where) for c in batch.columns[:-1]), pa.array(index, pa.int32()), pa.array(made, pa.string())], names=schema.names)  # noqa: B023
+
+            for i, t in enumerate(batch.column(batch.num_columns - 1)):
+                if not t.is_valid:
+                    continue
+                flat = " ".join(t.as_py().split())  # str.split knows the white space of PY_SPACE
+                for n, at in enumerate(range(0, max(1, len(flat) - overlap), step)):
+                    of.append(i)
+                    index.append(n)
+                    made.append(flat[at : at + size])
+                held += len(flat)
+                if held > PASS_CHARS:
+                    yield full()
+                    of, index, made, held = [], [], [], 0
+            if of:
+                yield full()
+
+    return rows.select(*keep, "text").mapInArrow(run, schema)
+
+
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Fixed windows of the collapsed text, ``size - overlap`` apart.
 

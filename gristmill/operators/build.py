@@ -7,7 +7,7 @@ answer_spans, history, target, answerable.  The second DataFrame of each has wha
 library, document, chunk_index and reason.
 
 Contexts come from BM25 within the library, as a batch for all examples; builders that are given
-``stats`` (``retrieve.postings`` and ``lengths`` of ``keyed`` chunks) share one pass over the corpus.  Choices that look random
+``stats`` (``retrieve.statistics`` of ``keyed`` chunks, of the terms of all questions at least) share one pass over the corpus.  Choices that look random
 are hashes of the chunk's key, so no schedule changes them.
 """
 

@@ -39,7 +39,8 @@ def sample_gold(chunks: DataFrame, n: int, seed: str = "0", per_document: int =
     The order of turns is round, library, document, so a plain sort gives it.
     """
     w = Window.partitionBy("document").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "document", F.col("chunk_index").cast("string"))))
-    ranked = chunks.where(gold_worthy(text.collapse(F.col("text")))).withColumn("round", F.row_number().over(w)).where(F.col("round") <= per_document)
+    worthy = F.transform(F.array(text.collapse(F.col("text"))), gold_worthy)[0]  # collapsed once for all its uses
+    ranked = chunks.where(worthy).withColumn("round", F.row_number().over(w)).where(F.col("round") <= per_document)
     first = ranked.orderBy("round", "library", "document").limit(n)
     return first.withColumn("place", F.row_number().over(Window.orderBy("round", "library", "document")))
 

@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.functions import text
 
-LINE_BREAK = r"\r\n|[\n\r\x0b\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+#: White space of either browsers' scripts or Python, but not both.
+_EITHER = re.compile("[\x1c-\x1f\x85\ufeff]")
+_WEB_SPACE = re.compile("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _facts(chunks: DataFrame) -> DataFrame:
+    """Counts of each chunk beside its other columns: chars, letters, lines that aren't blank, short ones among them, chars once collapsed, lost characters."""
+    names = ("chars", "letters", "lines", "short", "flat", "bad")
+    schema = T.StructType([*(chunks.schema[c] for c in chunks.columns if c != "text"), *(T.StructField(n, T.IntegerType()) for n in names)])
+
+    def counts(t: str | None) -> tuple[int | None, ...]:
+        if t is None:
+            return (None,) * len(names)
+        # splitlines and strip know the line breaks and the white space of Python
+        lines = [n for n in (len(x.strip()) for x in t.splitlines()) if n]
+        flat = _WEB_SPACE.sub(" ", t).strip(" ") if _EITHER.search(t) else " ".join(t.split())
+        letters = sum(len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in _NOT_LETTERS.split(t))
+        return len(t), letters, len(lines), sum(n < 25 for n in lines), len(flat), t.count("\ufffd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            found = zip(*(counts(t.as_py()) for t in batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(f, pa.int32()) for f in found)], names=schema.names)
+
+    return chunks.select(*[c for c in chunks.columns if c != "text"], "text").mapInArrow(run, schema)
 
 
 def statistics(chunks: DataFrame, *by: str) -> DataFrame:
@@ -17,17 +47,7 @@ def statistics(chunks: DataFrame, *by: str) -> DataFrame:
     and added up; no text is put together.  Line breaks inside a chunk and between chunks are
     all that separates lines.
     """
-    bare = F.transform(F.split(F.col("text"), LINE_BREAK, -1), lambda x: text.trim(x, text.PY_SPACE))
-    full = F.filter(bare, lambda x: F.length(x) > 0)
-    facts = chunks.select(
-        *by,
-        F.length("text").alias("chars"),
-        F.length(F.regexp_replace("text", r"[^\p{L}]", "")).alias("letters"),
-        F.size(full).alias("lines"),
-        F.size(F.filter(full, lambda x: F.length(x) < 25)).alias("short"),
-        F.length(text.collapse(F.col("text"))).alias("flat"),
-        (F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))).alias("bad"),
-    )
+    facts = _facts(chunks.select(*by, "text"))
     n = F.count("*")
     chars = F.sum("chars") + n - 1
     return facts.groupBy(*by).agg(

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions import chunking, text
+from gristmill.functions import chunking, repair, text
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +145,47 @@ def test_windows(spark):
     got = {x["i"]: x["c"] for x in d.select("i", chunking.windows(F.col("t")).alias("c")).collect()}
     flat = " ".join(texts[2].split())
     assert got[0] == [""] and got[1] == ["a"] and got[2] == [flat[s : s + 1000] for s in range(0, len(flat) - 200, 800)]
+
+
+ODD = ["", " ", "a", " a  b\t\tc \n", "x\u00a0\u2003y\ufeff z\x85w\x1c\x1d q", "\u3000\ufeff", "tail \x1f", "one. two\r\nthree\x0bfour\u2028five ²½ Ⅷ é_9 \ufffd", "long " * 900, "z" * 2500, "🙂 " * 700, None]
+
+
+def test_windows_and_collapse_on_odd_white_space(spark):
+    """Windows made over Arrow batches equal those of the expression, and collapsing equals the plain pattern."""
+    from gristmill.functions import chunking
+
+    d = spark.createDataFrame(list(enumerate(ODD)), "id int, text string")
+    want = d.select("id", F.posexplode(chunking.windows(F.col("text"))).alias("chunk_index", "text")).collect()
+    assert sorted(map(tuple, chunking.window_rows(d).collect())) == sorted(map(tuple, want))
+    for space in (text.WEB_SPACE, text.PY_SPACE):
+        plain = F.btrim(F.regexp_replace("text", f"{space}+", " "), F.lit(" "))
+        assert d.where(~text.collapse(F.col("text"), space).eqNullSafe(plain)).count() == 0
+
+
+def test_statistics_on_odd_texts(spark):
+    """Counts over Arrow batches equal those of expressions; line breaks and white space are Python's."""
+    from gristmill.operators import quality
+
+    facts = quality._facts(spark.createDataFrame(list(enumerate(ODD)), "id int, text string"))
+    want = facts.sparkSession.createDataFrame(list(enumerate(ODD)), "id int, text string").select(
+        "id", F.length("text").alias("chars"), F.length(F.regexp_replace("text", r"[^\p{L}]", "")).alias("letters"), F.length(text.collapse(F.col("text"))).alias("flat")
+    )
+    assert sorted(map(tuple, facts.select("id", "chars", "letters", "flat").collect())) == sorted(map(tuple, want.collect()))
+    lines = {r["id"]: (r["lines"], r["short"], r["bad"]) for r in facts.collect()}
+    assert lines[4] == (3, 3, 0) and lines[7] == (4, 4, 1) and lines[8] == (1, 0, 0) and lines[11] == (None, None, None)
+
+
+def test_corpus_passes_are_arrow(spark, sf):
+    """Neither windows nor statistics fold over arrays row by row."""
+    from gristmill.plans import queries
+
+    for name in ("corpus_doc_stats", "corpus_library_rollup", "gold_round_robin"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "regexp_extract_all" not in plan and "split(" not in plan
+
+
+def test_repairs_hold_few_rows():
+    import pyarrow as pa
+
+    parts = list(repair._passes(iter([pa.record_batch([pa.array(range(1000))], names=["a"])])))
+    assert max(p.num_rows for p in parts) <= 64 and sum(p.num_rows for p in parts) == 1000
